@@ -158,28 +158,27 @@ def join_repaired(pieces: list[tuple[str, np.ndarray]], enc) -> list[np.ndarray]
         tail = text[trusted:]
         done.append(tokens[: len(tokens) - count(tail)])
         both = tail + right
-        own = {0}
         own_scan = split.finditer(right)
-        own_end = 0
+        own, own_end, skip = {0: 0}, 0, 0  # own boundary -> tokens of the right chunk before it
+        fresh: list[int] = []
         met = -1
         for m in split.finditer(both):
             if m.end() >= len(both) or m.start() + 3 > len(both):
                 break
+            # piece by piece: a prefix of several could split otherwise at its end
+            fresh += enc.encode_ordinary(m.group())
             at = m.end() - len(tail)
-            if at < 0:
-                continue
             while own_end < at and (o := next(own_scan, None)):
-                own_end = o.end()
-                own.add(own_end)
+                own_end, skip = o.end(), skip + count(o.group())
+                own[own_end] = skip
             if at in own:
                 met = at
                 break
         if met < 0:
             text, tokens = both, np.array(enc.encode_ordinary(both), np.uint16)
         else:
-            done.append(np.array(enc.encode_ordinary(both[: len(tail) + met]), np.uint16))
-            skip = count(right[:met])
-            text, tokens = right[met:], right_tokens[skip:]
+            done.append(np.array(fresh, np.uint16))
+            text, tokens = right[met:], right_tokens[own[met] :]
     done.append(tokens)
     return done
 
