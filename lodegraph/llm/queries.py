@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodegraph.llm import abuse as ab
 from lodegraph.llm import chunk_encoding as ce
 from lodegraph.llm import packing as pk
 from lodegraph.session import cut_lineage
@@ -43,5 +44,22 @@ def p7_fill(spark, d):
     return out
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_sources, p7_packs, p7_fill)}
+def p8_scores(spark, d):
+    docs = load(spark, d, "documents")
+    scored = ab.abuse_scores(docs, ab.fit_model(docs, load(spark, d, "labels")))
+    return scored.groupBy("doc_id").agg(F.max("score").alias("score"), F.max("flagged").alias("flagged"))
+
+
+def p8_found(spark, d):
+    docs = load(spark, d, "documents")
+    scored = ab.abuse_scores(docs, ab.fit_model(docs, load(spark, d, "labels")))
+    return scored.where("flagged").select("doc_id").distinct()
+
+
+def p8_rates(spark, d):
+    docs = load(spark, d, "documents")
+    return ab.source_rates(docs, ab.abuse_scores(docs, ab.fit_model(docs, load(spark, d, "labels"))))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_sources, p7_packs, p7_fill, p8_found, p8_scores, p8_rates)}
 SQL: dict[str, str] = {}
