@@ -7,12 +7,25 @@ from pyspark.sql import functions as F
 from lodegraph.llm import abuse as ab
 from lodegraph.llm import chunk_encoding as ce
 from lodegraph.llm import packing as pk
+from lodegraph.llm import syntax as sx
 from lodegraph.session import cut_lineage
 from lodegraph.tables import load
 
 PACK_NAME = "context_default"
 
 
+def p4_found(spark, d):
+    return sx.invalid_files(load(spark, d, "entities"), load(spark, d, "source_files"))
+
+
+def p4_verdicts(spark, d):
+    return sx.listed_verdicts(load(spark, d, "entities"), load(spark, d, "source_files"))
+
+
+def p4_rates(spark, d):
+    return sx.syntax_rates(p4_verdicts(spark, d))
+
+
 def p6_ids(spark, d):
     return ce.encode_corpus(load(spark, d, "documents"))
 
@@ -61,5 +74,5 @@ def p8_rates(spark, d):
     return ab.source_rates(docs, ab.abuse_scores(docs, ab.fit_model(docs, load(spark, d, "labels"))))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_sources, p7_packs, p7_fill, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_verdicts, p4_rates, p6_ids, p6_sources, p7_packs, p7_fill, p8_found, p8_scores, p8_rates)}
 SQL: dict[str, str] = {}
