@@ -581,3 +581,121 @@ def text_unit_dedup(spark, d):
     from lodegraph.pipeline.reconcile import last_snapshots
 
     return kept.join(last_snapshots(load(spark, d, "snapshots")), ["graph_name", "snapshot_id"], "left_semi").join(last, "graph_name", "left_semi").select("graph_name", "id", "n_tokens")
+
+
+# --- interval joins and edge rules ---------------------------------------------------------------
+
+from lodegraph.operators import construct, intervals  # noqa: E402
+
+_FACTS = """f AS (SELECT graph_name, source_file, id, TRY_CAST(regexp_extract(span, '^([0-9]+)', 1) AS INT) AS a,
+ CASE WHEN span LIKE '%-%' THEN TRY_CAST(regexp_extract(span, '-([0-9]+):', 1) AS INT) ELSE TRY_CAST(regexp_extract(span, '^([0-9]+)', 1) AS INT) END AS z
+ FROM e WHERE type <> 'file' AND regexp_matches(span, '^[0-9]+:[0-9]+(-[0-9]+:[0-9]+)?$')),
+g AS (SELECT DISTINCT graph_name, source_file, b.kind AS kind, b.condition AS condition, b.start_line AS s, b.end_line AS t, b.liveness AS liveness, b.basis AS basis FROM (SELECT graph_name, source_file, unnest(preprocessor_branches) AS b FROM e WHERE type = 'file'))"""
+_BRANCH_COLUMNS = "id, type, source_file, span, preprocessor_branches"
+
+
+def _branches(spark, d):
+    e = current(spark, d, "entities", *_BRANCH_COLUMNS.split(", "))
+    s = F.col("span")
+    facts = e.where("type <> 'file'").select("graph_name", "source_file", "id", first_line(s).cast("bigint").alias("first"), last_line(s).cast("bigint").alias("last"))
+    b = e.where("type = 'file'").select("graph_name", "source_file", F.explode("preprocessor_branches").alias("b"))
+    regions = b.select(
+        "graph_name", "source_file", F.col("b.start_line").alias("first"), F.col("b.end_line").alias("last"), F.col("b.kind").alias("kind"),
+        F.col("b.condition").alias("condition"), F.col("b.liveness").alias("liveness"), F.col("b.basis").alias("basis"), F.lit(False).alias("is_guard"),
+    )
+    return intervals.branches_for_spans(facts, regions, ["graph_name", "source_file"])
+
+
+@query(f"""WITH {_LAST}, {_cur('entities', _BRANCH_COLUMNS, 'e')}, {_FACTS}
+SELECT DISTINCT f.graph_name, f.source_file, f.id, g.kind, g.condition, g.s AS r_first, g.t AS r_last, g.liveness, g.basis FROM f JOIN g ON g.graph_name = f.graph_name AND g.source_file = f.source_file AND f.z >= g.s AND f.a <= g.t""")
+def branches_for_spans(spark, d):
+    return _branches(spark, d)
+
+
+@query(f"""WITH {_LAST}, {_cur('entities', _BRANCH_COLUMNS, 'e')}, {_FACTS}, j AS (SELECT f.graph_name, f.source_file, f.id, unnest(['inside_conditional:' || g.kind || '(' || left(coalesce(g.condition, ''), 40) || ')', 'branch_' || g.liveness || ':' || g.kind || '(' || left(coalesce(g.condition, ''), 40) || ')']) AS reason
+ FROM f JOIN g ON g.graph_name = f.graph_name AND g.source_file = f.source_file AND f.z >= g.s AND f.a <= g.t)
+SELECT graph_name, source_file, id, list_sort(list(DISTINCT reason)) AS reasons FROM j GROUP BY ALL""")
+def region_reasons(spark, d):
+    return intervals.region_reasons(_branches(spark, d), ["graph_name", "source_file"])
+
+
+@query(f"""WITH {_LAST}, {_cur('entities', 'id, title, source_file, span, type', 'e')}, {_cur('relationships', 'id, source_file, span, type', 'r')},
+o AS (SELECT graph_name, source_file, title, TRY_CAST(regexp_extract(span, '^([0-9]+)', 1) AS INT) AS a, CASE WHEN span LIKE '%-%' THEN TRY_CAST(regexp_extract(span, '-([0-9]+):', 1) AS INT) ELSE TRY_CAST(regexp_extract(span, '^([0-9]+)', 1) AS INT) END AS z
+ FROM e WHERE type IN ('fn', 'method', 'function', 'class') AND regexp_matches(span, '^[0-9]+:[0-9]+(-[0-9]+:[0-9]+)?$')),
+p AS (SELECT graph_name, source_file, id, TRY_CAST(nullif(regexp_extract(span, '^\\s*([0-9]+)\\s*(:|$)', 1), '') AS INT) AS line FROM r WHERE type = 'calls')
+SELECT graph_name, source_file, p.id AS point_id, arg_max(title, (a, -z, title)) AS owner FROM p JOIN o USING (graph_name, source_file) WHERE line BETWEEN a AND z GROUP BY ALL""")
+def enclosing_functions(spark, d):
+    s = F.col("span")
+    owners = current(spark, d, "entities", "id", "title", "source_file", "span", "type").where("type in ('fn', 'method', 'function', 'class')").select(
+        "graph_name", "source_file", F.col("title").alias("owner"), first_line(s).alias("first"), last_line(s).alias("last"))
+    points = current(spark, d, "relationships", "id", "source_file", "span", "type").where("type = 'calls'").select(
+        "graph_name", "source_file", F.col("id").alias("point_id"), call_line(s).alias("line"))
+    return audit.innermost_owner(points, owners, ["graph_name", "source_file"])
+
+
+@query(f"""WITH {_LAST}, {_cur('entities', 'id, title, human_readable_id', 'e')}, {_cur('relationships', 'source, target, source_file', 'r')},
+t AS (SELECT graph_name, title, min(human_readable_id) AS o FROM e GROUP BY ALL), b AS (SELECT graph_name, regexp_extract(title, '([^:]*)$', 1) AS bare, arg_min(title, (o, title)) AS of_bare FROM t GROUP BY ALL),
+i AS (SELECT graph_name, id, arg_min(title, human_readable_id) AS of_id FROM e GROUP BY ALL),
+q AS (SELECT DISTINCT graph_name, raw, regexp_extract(source_file, '([^/]+)\\.[^./]+$', 1) AS stem FROM (SELECT graph_name, source AS raw, source_file FROM r UNION ALL SELECT graph_name, target, source_file FROM r) WHERE raw IS NOT NULL AND raw <> ''),
+p AS (SELECT *, string_split(raw, ':') AS s, trim(regexp_extract(raw, '([^:]*)$', 1)) AS bare FROM q),
+k AS (SELECT *, CASE WHEN starts_with(raw, 'ent:') AND len(s) >= 3 THEN CASE WHEN s[2] = 'file' THEN array_to_string(s[3:], ':') WHEN len(s) >= 4 THEN array_to_string(s[4:], ':') ELSE s[-1] END END AS tail FROM p),
+c AS (SELECT k.*, stem || ':' || tail AS ci, stem || ':' || replace(tail, '_', '.') AS cd, CASE WHEN contains(raw, ':') THEN stem || ':' || regexp_extract(raw, ':(.*)$', 1) END AS cc FROM k)
+SELECT c.graph_name, c.raw, c.stem,
+ CASE WHEN x.title IS NOT NULL THEN c.raw WHEN of_id IS NOT NULL THEN of_id WHEN y.title IS NOT NULL THEN ci WHEN z.title IS NOT NULL THEN cd WHEN w.title IS NOT NULL THEN cc WHEN of_bare IS NOT NULL THEN of_bare ELSE c.raw END AS title,
+ CASE WHEN x.title IS NOT NULL THEN 'title' WHEN of_id IS NOT NULL THEN 'id' WHEN y.title IS NOT NULL THEN 'internal' WHEN z.title IS NOT NULL THEN 'dotted' WHEN w.title IS NOT NULL THEN 'context' WHEN of_bare IS NOT NULL THEN 'bare' ELSE 'raw' END AS step
+FROM c LEFT JOIN t x ON x.graph_name = c.graph_name AND x.title = c.raw LEFT JOIN i ON i.graph_name = c.graph_name AND i.id = c.raw LEFT JOIN t y ON y.graph_name = c.graph_name AND y.title = ci
+ LEFT JOIN t z ON z.graph_name = c.graph_name AND z.title = cd LEFT JOIN t w ON w.graph_name = c.graph_name AND w.title = cc LEFT JOIN b ON b.graph_name = c.graph_name AND b.bare = c.bare""")
+def title_resolution(spark, d):
+    e = current(spark, d, "entities", "id", "title", "human_readable_id").withColumnRenamed("human_readable_id", "ordinal")
+    r = current(spark, d, "relationships", "source", "target", "source_file")
+    stem = F.regexp_extract("source_file", r"([^/]+)\.[^./]+$", 1).alias("stem")
+    refs = r.select("graph_name", F.col("source").alias("raw"), stem).unionByName(r.select("graph_name", F.col("target").alias("raw"), stem))
+    return construct.resolve_titles(refs, e)
+
+
+_WEAK = "id, type, extractor, description, confidence, resolved_target_hint"
+
+
+@query(f"""WITH {_LAST}, {_cur('relationships', _WEAK, 'r')},
+x AS (SELECT *, type = 'calls' AND contains(extractor, '+ast') AS judged, CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0 ELSE confidence END AS conf, coalesce(resolved_target_hint, '') <> '' AS hinted FROM r),
+y AS (SELECT *, CASE WHEN description LIKE '%builtin container%' THEN 'builtin/container call observation' WHEN description LIKE '%ambiguous annotation%' THEN 'ambiguous annotation' WHEN description LIKE '%ambiguous constructors%' THEN 'ambiguous constructors'
+ WHEN description LIKE '%guarded by reassignment%' THEN 'guarded by reassignment' WHEN description LIKE '%unresolved receiver%' THEN 'unresolved receiver' WHEN conf < 0.6 THEN 'low confidence' END AS told, conf < 0.7 OR NOT hinted AS leaves FROM x)
+SELECT graph_name, id, coalesce(judged AND (told IS NOT NULL OR leaves), false) AS observed, CASE WHEN judged AND (told IS NOT NULL OR leaves) THEN coalesce(told, 'low confidence call observation') END AS reason, NOT coalesce(judged AND leaves, false) AS kept FROM y""")
+def weak_call_demotion(spark, d):
+    return construct.demote_weak_calls(current(spark, d, "relationships", *_WEAK.split(", "))).select("graph_name", "id", "observed", "reason", "kept")
+
+
+@query(f"""WITH {_LAST}, {_cur('entities', 'title', 'e')}, {_cur('call_observations', 'source, display_target', 'c')}, o AS (SELECT graph_name, regexp_extract(title, '([^:]*)$', 1) AS target, max(title) AS f FROM e GROUP BY ALL HAVING count(*) = 1)
+SELECT c.graph_name, c.source, CASE WHEN NOT contains(display_target, ':') AND f IS NOT NULL THEN f ELSE display_target END AS target, NOT contains(display_target, ':') AND f IS NOT NULL AS upgraded FROM c LEFT JOIN o ON o.graph_name = c.graph_name AND o.target = c.display_target WHERE display_target IS NOT NULL""")
+def bare_name_upgrade(spark, d):
+    o = current(spark, d, "call_observations", "source", "display_target").where("display_target is not null")
+    edges = o.select("graph_name", "source", F.col("display_target").alias("target"), F.lit("calls").alias("type"), F.lit(0.5).alias("confidence"), F.lit(False).alias("is_deterministic"))
+    return construct.upgrade_bare_targets(edges, current(spark, d, "entities", "title")).select("graph_name", "source", "target", "upgraded")
+
+
+@query("""WITH f AS (SELECT DISTINCT graph_name, source_file, regexp_extract(source_file, '([^/]+)\\.[^./]+$', 1) AS stem, regexp_extract(source_file, '(?:^|/)([^/]+)/[^/]+$', 1) AS parent, regexp_replace(source_file, '[^/]*$', '') AS folder FROM source_files),
+n AS (SELECT graph_name, stem, count(DISTINCT folder) AS k FROM f GROUP BY ALL) SELECT graph_name, source_file, CASE WHEN k > 1 AND parent <> '' THEN parent || '/' || stem ELSE stem END AS module_key FROM f JOIN n USING (graph_name, stem)""")
+def c_module_keys(spark, d):
+    return construct.module_keys(load(spark, d, "source_files"))
+
+
+@query(f"""WITH {_LAST}, s AS (SELECT DISTINCT graph_name, split_part(title, ':', 1) AS module_key, type AS kind, symbol_name AS name FROM entities SEMI JOIN last USING (graph_name, snapshot_id) WHERE symbol_name IS NOT NULL),
+n AS (SELECT graph_name, module_key, name, count(DISTINCT kind) AS k FROM s GROUP BY ALL) SELECT s.*, CASE WHEN k > 1 THEN module_key || ':' || kind || ':' || name ELSE module_key || ':' || name END AS title FROM s JOIN n USING (graph_name, module_key, name)""")
+def c_symbol_titles(spark, d):
+    e = current(spark, d, "entities", "title", "type", "symbol_name").where("symbol_name is not null")
+    return construct.symbol_titles(e.select("graph_name", F.substring_index("title", ":", 1).alias("module_key"), F.col("type").alias("kind"), F.col("symbol_name").alias("name")))
+
+
+@query(f"""WITH {_LAST}, r AS (SELECT DISTINCT graph_name, 'rel:' || type AS id, source, target, type, span FROM relationships SEMI JOIN last USING (graph_name, snapshot_id)), n AS (SELECT *, count(*) OVER (PARTITION BY graph_name, id) AS k FROM r)
+SELECT graph_name, id, source, target, span, CASE WHEN k > 1 THEN id || ':' || left(sha256(coalesce(source, '') || chr(0) || coalesce(target, '') || chr(0) || coalesce(type, '') || chr(0) || coalesce(span, '')), 12) ELSE id END AS new_id FROM n""")
+def id_disambiguation(spark, d):
+    r = current(spark, d, "relationships", "source", "target", "type", "span").withColumn("id", F.concat(F.lit("rel:"), "type"))
+    return construct.disambiguate_ids(r).select("graph_name", "id", "source", "target", "span", "new_id")
+
+
+@query(f"""WITH {_LAST}, {_cur('relationships', 'source, target, type', 'r')} SELECT DISTINCT graph_name, source, target FROM r WHERE type = 'includes' AND NOT EXISTS
+ (SELECT 1 FROM r q WHERE q.type = 'depends_on' AND q.graph_name = r.graph_name AND q.source = r.source AND q.target = r.target) AND source IS NOT NULL AND target IS NOT NULL""")
+def unseen_dependencies(spark, d):
+    r = _edges(spark, d).where("source is not null and target is not null")
+    keys = ["graph_name", "source", "target"]
+    return construct.append_unseen(r.where("type = 'depends_on'"), r.where("type = 'includes'"), keys).select(*keys)
