@@ -699,3 +699,49 @@ def unseen_dependencies(spark, d):
     r = _edges(spark, d).where("source is not null and target is not null")
     keys = ["graph_name", "source", "target"]
     return construct.append_unseen(r.where("type = 'depends_on'"), r.where("type = 'includes'"), keys).select(*keys)
+
+
+# --- extraction from source ----------------------------------------------------------------------
+
+from lodegraph.sources import c_conditionals, python_facts  # noqa: E402
+
+
+@query()
+def python_facts_census(spark, d):
+    facts = python_facts.python_facts(load(spark, d, "source_files"))
+    return facts.groupBy("record", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("graph_name").alias("n_graphs"), F.avg("confidence").alias("mean_confidence"))
+
+
+@query()
+def dynamic_sites(spark, d):
+    facts = python_facts.python_facts(load(spark, d, "source_files")).where("record = 'site'")
+    return facts.groupBy("type").agg(F.count(F.lit(1)).alias("n_sites"), F.countDistinct("graph_name", "source_file").alias("n_files"))
+
+
+@query()
+def extracted_bare_calls(spark, d):
+    """Calls of the extractor with their targets resolved against all titles of the graph."""
+    facts = python_facts.python_facts(load(spark, d, "source_files"))
+    entities = facts.where("record = 'entity'").select("graph_name", F.col("source").alias("title"), F.concat_ws(":", F.lit("ent"), "type", "source").alias("id"), F.col("first").alias("ordinal"))
+    refs = facts.where("record = 'edge' and type = 'calls'").select("graph_name", F.col("target").alias("raw"), F.regexp_extract("source_file", r"([^/]+)\.py$", 1).alias("stem"))
+    return construct.resolve_titles(refs, entities).groupBy("graph_name", "step").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def conditional_regions(spark, d):
+    r = c_conditionals.conditional_regions(load(spark, d, "source_files"))
+    return r.groupBy("graph_name", "kind", "liveness").agg(F.count(F.lit(1)).alias("n_regions"), F.max("depth").alias("max_depth"))
+
+
+@query("""WITH t AS (SELECT DISTINCT graph_name, source_file, content FROM source_files WHERE content IS NOT NULL AND regexp_matches(source_file, '\\.[ch]$'))
+SELECT graph_name, count(*) AS n_files, CAST(sum(len(regexp_extract_all(content, '(?m)^[ \\t]*#[ \\t]*define[ \\t]+\\w+\\('))) AS BIGINT) AS n_function_macros,
+ CAST(sum(len(regexp_extract_all(content, '(?m)^[ \\t]*#[ \\t]*define[ \\t]+\\w+(?:[^\\w(]|$)'))) AS BIGINT) AS n_object_macros,
+ CAST(sum(len(regexp_extract_all(content, '(?m)^[ \\t]*#[ \\t]*if(n?def)?\\b'))) AS BIGINT) AS n_conditionals FROM t GROUP BY 1""")
+def macro_census(spark, d):
+    return c_conditionals.macro_census(load(spark, d, "source_files"))
+
+
+@query()
+def golden_cases(spark, d):
+    files = load(spark, d, "source_files").where("source_file like '%.json' and content is not null").select("graph_name", "source_file", "content").distinct()
+    return measures.json_cases(files).groupBy("n_cases").agg(F.count(F.lit(1)).alias("n_files"))
