@@ -745,3 +745,53 @@ def macro_census(spark, d):
 def golden_cases(spark, d):
     files = load(spark, d, "source_files").where("source_file like '%.json' and content is not null").select("graph_name", "source_file", "content").distinct()
     return measures.json_cases(files).groupBy("n_cases").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+# --- packs ---------------------------------------------------------------------------------------
+
+from lodegraph.operators import pack  # noqa: E402
+from lodegraph.tables import GraphTables  # noqa: E402
+
+
+def _graph(spark, d):
+    return GraphTables(
+        current(spark, d, "entities", "id", "title", "type", "text_unit_ids"),
+        current(spark, d, "relationships", "id", "source", "target", "type"),
+        current(spark, d, "text_units", "id", "text"),
+        current(spark, d, "call_observations", "source", "display_target", "reason", "span"),
+    )
+
+
+_PACK = f"""{_LAST}, {_cur('entities', 'id, title, text_unit_ids', 'e')}, {_cur('relationships', 'id, source, target, type', 'r')}, {_cur('text_units', 'id, text', 't')}, {_cur('call_observations', 'source, display_target, reason, span', 'o')},
+n AS (SELECT graph_name, id AS name FROM e WHERE title = '{HUB}' UNION SELECT graph_name, title FROM e WHERE title = '{HUB}'),
+x AS (SELECT r.*, target AS other, 'out' AS way FROM r SEMI JOIN (SELECT graph_name, name AS source FROM n) USING (graph_name, source) UNION ALL SELECT r.*, source, 'in' FROM r SEMI JOIN (SELECT graph_name, name AS target FROM n) USING (graph_name, target)),
+y AS (SELECT * FROM x WHERE other IS NOT NULL), w AS (SELECT DISTINCT graph_name, id FROM (SELECT graph_name, unnest(text_unit_ids) AS id FROM e WHERE title = '{HUB}' UNION ALL SELECT graph_name, unnest(text_unit_ids) FROM e SEMI JOIN (SELECT graph_name, other AS title FROM y) USING (graph_name, title))),
+s AS (SELECT DISTINCT graph_name, 'neighbors' AS section, other || chr(31) || type || chr(31) || coalesce(id, '') AS k, 30 AS lim FROM y UNION ALL SELECT DISTINCT graph_name, 'texts', id, 10 FROM t SEMI JOIN w USING (graph_name, id) WHERE text IS NOT NULL
+ UNION ALL SELECT DISTINCT graph_name, 'data', other || chr(31) || coalesce(id, ''), 30 FROM y WHERE type = 'uses_data' UNION ALL SELECT DISTINCT graph_name, 'types_out', target || chr(31) || coalesce(id, ''), 20 FROM x WHERE way = 'out' AND type = 'uses_type'
+ UNION ALL SELECT DISTINCT graph_name, 'types_in', source || chr(31) || coalesce(id, ''), 20 FROM x WHERE way = 'in' AND type = 'uses_type'
+ UNION ALL SELECT graph_name, 'observations', CAST(row_number() OVER (PARTITION BY graph_name) AS VARCHAR), 15 FROM (SELECT DISTINCT * FROM o WHERE source = '{HUB}' OR starts_with(source, '{HUB}.')))"""
+
+
+@query(f"WITH {_PACK} SELECT graph_name, section, least(count(*), max(lim)) AS n_items, CASE WHEN section = 'observations' THEN least(count(*), 15) ELSE count(*) END AS total FROM s GROUP BY graph_name, section")
+def context_pack_sections(spark, d):
+    s = pack.context_sections(_graph(spark, d), HUB)
+    return s.groupBy("graph_name", "section").agg(F.count(F.lit(1)).alias("n_items"), F.max("total").alias("total"))
+
+
+@query()
+def context_pack(spark, d):
+    return pack.context_pack(_graph(spark, d), HUB)
+
+
+@query(f"""WITH {_LAST}, {_cur('entities', 'title, type', 'e')}, {_cur('relationships', 'id, source, target, type', 'r')},
+s AS (SELECT graph_name, 'members' AS section, 50 AS lim FROM e WHERE starts_with(title, 'runtime_log:') UNION ALL SELECT graph_name, 'edges', 100 FROM r WHERE starts_with(source, 'runtime_log:') OR starts_with(target, 'runtime_log:'))
+SELECT graph_name, section, least(count(*), max(lim)) AS n_items, count(*) AS total FROM s GROUP BY graph_name, section""")
+def module_pack(spark, d):
+    s = pack.module_pack(_graph(spark, d), "runtime_log")
+    return s.groupBy("graph_name", "section").agg(F.count(F.lit(1)).alias("n_items"), F.max("total").alias("total"))
+
+
+@query(f"""WITH RECURSIVE {_CLOSURE} SELECT graph_name, '{HUB}' AS start, CASE WHEN coalesce(m, 0) = 0 THEN 'empty_closure' ELSE 'truncated_closure' END AS problem
+FROM (SELECT graph_name, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN (SELECT graph_name, count(*) AS m FROM ed GROUP BY 1) USING (graph_name) WHERE coalesce(m, 0) = 0 OR n > 50 OR m > 100""")
+def type_context_gate(spark, d):
+    return pack.type_context_gate(traverse.closure_totals(*_closure(spark, d)))
