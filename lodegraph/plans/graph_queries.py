@@ -795,3 +795,67 @@ def module_pack(spark, d):
 FROM (SELECT graph_name, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN (SELECT graph_name, count(*) AS m FROM ed GROUP BY 1) USING (graph_name) WHERE coalesce(m, 0) = 0 OR n > 50 OR m > 100""")
 def type_context_gate(spark, d):
     return pack.type_context_gate(traverse.closure_totals(*_closure(spark, d)))
+
+
+# --- words for numbers, over the order tables ----------------------------------------------------
+
+from lodegraph.functions import humanise, plain  # noqa: E402
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS nth,
+ format('{:,}', CAST(floor(o_totalprice) AS BIGINT) * 1000) AS grouped,
+ CASE WHEN o_orderkey * 997 = 1 THEN CAST(o_orderkey * 997 AS VARCHAR) || ' Byte' WHEN o_orderkey * 997 < 1000 THEN CAST(o_orderkey * 997 AS VARCHAR) || ' Bytes' WHEN o_orderkey * 997 < 1000000 THEN printf('%.1f', o_orderkey * 997 / 1000.0) || ' kB' WHEN o_orderkey * 997 < 1000000000 THEN printf('%.1f', o_orderkey * 997 / 1000000.0) || ' MB' ELSE printf('%.1f', o_orderkey * 997 / 1000000000.0) || ' GB' END AS size,
+ CASE WHEN o_orderkey < 10 THEN ['zero','one','two','three','four','five','six','seven','eight','nine'][o_orderkey + 1] ELSE CAST(o_orderkey AS VARCHAR) END AS word,
+ CASE WHEN o_totalprice < 2000 THEN '<2000' WHEN o_totalprice > 100000 THEN '>100000' ELSE 'between' END AS bound FROM orders""")
+def number_words(spark, d):
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    bound = F.when(price.between(2000, 100000), "between").otherwise(humanise.clamp(price, 2000, 100000))
+    return load(spark, d, "orders").select(
+        "o_orderkey", humanise.ordinal(k).alias("nth"), humanise.intcomma(F.floor(price).cast("bigint") * 1000).alias("grouped"), humanise.naturalsize(k * 997).alias("size"),
+        humanise.digit_word(k).alias("word"), bound.alias("bound"),
+    )
+
+
+@query("""SELECT r_name, CASE count(*) WHEN 1 THEN min(n_name) ELSE array_to_string(list(n_name ORDER BY n_name)[:-2], ', ') || ' and ' || max(n_name) END AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def natural_lists(spark, d):
+    n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.groupBy("r_name").agg(humanise.natural_list(F.sort_array(F.collect_list("n_name"))).alias("nations"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN s < 1 THEN 'a moment' WHEN s < 2 THEN 'a second' WHEN s < 60 THEN s || ' seconds' WHEN s < 120 THEN 'a minute' WHEN s < 3600 THEN (s // 60) || ' minutes' WHEN s < 7200 THEN 'an hour' WHEN s < 86400 THEN (s // 3600) || ' hours' WHEN s < 172800 THEN 'a day' ELSE (s // 86400) || ' days' END AS words
+FROM (SELECT o_orderkey, o_orderkey % 1000000 AS s FROM orders)""")
+def duration_words(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", humanise.naturaldelta(F.col("o_orderkey") % 1000000).alias("words"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, 'P' || CAST(o_orderkey % 30 + 1 AS VARCHAR) || 'D' AS duration, CAST(o_orderkey % 30 + 1 AS INT) AS days FROM orders")
+def iso_round_trip(spark, d):
+    """Dates and durations through their ISO texts and back."""
+    to_date, days_of = plain.vectorised(plain.parse_date, "date"), plain.vectorised(lambda t: plain.parse_duration(t)["days"], "int")
+    o = load(spark, d, "orders").withColumn("duration", F.concat(F.lit("P"), (F.col("o_orderkey") % 30 + 1).cast("string"), F.lit("D")))
+    return o.select("o_orderkey", to_date(F.date_format("o_orderdate", "yyyy-MM-dd")).cast("string").alias("day"), "duration", days_of("duration").alias("days"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '{\"k\": ' || json_extract(props, '$.k') || ', \"type\": \"' || event_type || '\"}' AS patched FROM events")
+def json_documents(spark, d):
+    """A pointer into each event's properties, and the document after a patch."""
+    at, patch = plain.vectorised(plain.resolve_pointer, "string"), plain.vectorised(plain.apply_patch, "string")
+    op = F.concat(F.lit('[{"op": "add", "path": "/type", "value": "'), "event_type", F.lit('"}]'))
+    return load(spark, d, "events").select("event_id", at("props", F.lit("/k")).alias("k"), patch("props", op).alias("patched"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 10 >= 2 AND p_size % 10 < 5 THEN true ELSE false END AS fits, CASE WHEN p_size % 10 > 2 THEN 1 WHEN p_size % 10 < 2 THEN -1 WHEN p_partkey % 7 > 0 THEN 1 ELSE 0 END AS order_to_2 FROM part""")
+def version_order(spark, d):
+    fits, compare = plain.vectorised(plain.matches_spec, "boolean"), plain.vectorised(plain.compare_versions, "int")
+    v = F.concat((F.col("p_size") % 10).cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit(".0"))
+    return load(spark, d, "part").select("p_partkey", fits(F.lit(">=2.0.0,<5.0.0"), v).alias("fits"), compare(v, F.lit("2.0.0")).alias("order_to_2"))
+
+
+@query()
+def text_edits(spark, d):
+    """Differences between the names of neighbouring parts."""
+    from pyspark.sql.window import Window
+
+    distance = plain.vectorised(plain.diff_distance, "int")
+    before = F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return load(spark, d, "part").select("p_partkey", "p_name", before.alias("before")).where("before is not null").select("p_partkey", distance("p_name", "before").alias("distance"))
