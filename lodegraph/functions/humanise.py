@@ -14,6 +14,11 @@ DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "e
 _RAISED = ("0123456789-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁻")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Decimal text of the exact binary value, ties to even, without grouping."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def ordinal(n: Column) -> Column:
     """1st, 2nd, 3rd, 4th, 11th ..."""
     last, two = F.abs(n) % 10, F.abs(n) % 100
@@ -39,12 +44,13 @@ def intword(n: Column) -> Column:
     steps = [(10.0**e, name) for e, name in POWERS]
     for i in range(len(steps) - 1, -1, -1):
         power, name = steps[i]
-        shown = F.round(v / power, 1)
+        text_of = fixed(v / power, 1)
+        shown = text_of.cast("double")
         if i + 1 < len(steps):
             up, up_name = steps[i + 1]
-            text = F.when(shown * power == up, F.lit(f"1.0 {up_name}")).otherwise(F.concat(F.format_string("%.1f", shown), F.lit(f" {name}")))
+            text = F.when(shown * power == up, F.lit(f"1.0 {up_name}")).otherwise(F.concat(text_of, F.lit(f" {name}")))
         else:
-            text = F.concat(F.format_string("%.1f", shown), F.lit(f" {name}"))
+            text = F.concat(text_of, F.lit(f" {name}"))
         out = F.when(v >= power, text) if out is None else out.when(v >= power, text)
     return F.concat(sign, out.otherwise(F.abs(n).cast("bigint").cast("string")))
 
@@ -61,7 +67,7 @@ def naturalsize(n: Column, binary: bool = False) -> Column:
     v = F.abs(n.cast("double"))
     out = F.when(v == 1, F.concat(n.cast("bigint").cast("string"), F.lit(" Byte"))).when(v < base, F.concat(n.cast("bigint").cast("string"), F.lit(" Bytes")))
     for i, unit in enumerate(units):
-        text = F.concat(F.format_string("%.1f", n.cast("double") / base ** (i + 1)), F.lit(f" {unit}"))
+        text = F.concat(fixed(n.cast("double") / base ** (i + 1), 1), F.lit(f" {unit}"))
         out = out.when(v < base ** (i + 2), text) if i + 1 < len(units) else out.otherwise(text)
     return out
 
@@ -73,7 +79,7 @@ def metric(n: Column, unit: str = "") -> Column:
     group = F.floor(exponent / 3).cast("int")
     scaled = v / F.pow(F.lit(10.0), group * 3)
     places = F.lit(2) - (exponent - group * 3)
-    shown = F.when(places == 2, F.format_string("%.2f", scaled)).when(places == 1, F.format_string("%.1f", scaled)).otherwise(F.format_string("%.0f", scaled))
+    shown = F.when(places == 2, fixed(scaled, 2)).when(places == 1, fixed(scaled, 1)).otherwise(fixed(scaled, 0))
     prefix = F.element_at(F.array(*map(F.lit, "qryzafpnµm")), group + 11)
     prefix = F.when(group < 0, prefix).when(group == 0, "").otherwise(F.element_at(F.array(*map(F.lit, "kMGTPEZYRQ")), F.greatest(group, F.lit(1))))
     tail = F.concat(prefix, F.lit(unit))
@@ -84,10 +90,10 @@ def scientific(n: Column, digits: int = 2) -> Column:
     """1.23 x 10³ with raised digits."""
     v = n.cast("double")
     exponent = F.when(v == 0, 0).otherwise(F.floor(F.log10(F.abs(v)))).cast("int")
-    mantissa = F.round(v / F.pow(F.lit(10.0), exponent), digits)
+    mantissa = fixed(v / F.pow(F.lit(10.0), exponent), digits).cast("double")
     over = F.abs(mantissa) >= 10
     mantissa, exponent = F.when(over, mantissa / 10).otherwise(mantissa), F.when(over, exponent + 1).otherwise(exponent)
-    return F.concat(F.format_string(f"%.{digits}f", mantissa), F.lit(" x 10"), F.translate(exponent.cast("string"), *_RAISED))
+    return F.concat(fixed(mantissa, digits), F.lit(" x 10"), F.translate(exponent.cast("string"), *_RAISED))
 
 
 def clamp(n: Column, floor: float | None = None, ceil: float | None = None) -> Column:
