@@ -859,3 +859,82 @@ def text_edits(spark, d):
     distance = plain.vectorised(plain.diff_distance, "int")
     before = F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     return load(spark, d, "part").select("p_partkey", "p_name", before.alias("before")).where("before is not null").select("p_partkey", distance("p_name", "before").alias("distance"))
+
+
+# --- compiler trees and contracts ----------------------------------------------------------------
+
+from lodegraph.operators import contracts  # noqa: E402
+from lodegraph.sources import ast_facts  # noqa: E402
+
+
+@query()
+def ast_definitions(spark, d):
+    facts = ast_facts.ast_facts(load(spark, d, "clang_asts")).where("record = 'definition'")
+    return audit.merge_observations(facts, ["graph_name", "file", "name", "line", "col"], "entry_index", ["qual_type"])
+
+
+@query()
+def ast_calls(spark, d):
+    facts = ast_facts.ast_facts(load(spark, d, "clang_asts")).where("record = 'call'")
+    return audit.merge_observations(facts, ["graph_name", "file", "owner", "byte_offset", "line", "col"], "entry_index", ["target"])
+
+
+@query()
+def ast_types(spark, d):
+    facts = ast_facts.ast_facts(load(spark, d, "clang_asts")).where("record = 'type'")
+    return facts.groupBy("graph_name", "kind").agg(F.countDistinct("name").alias("n_names"), F.count(F.lit(1)).alias("n_sites"))
+
+
+@query()
+def ast_type_uses(spark, d):
+    """Core types of uses per kind, primitives apart."""
+    facts = ast_facts.ast_facts(load(spark, d, "clang_asts")).where("record = 'use'")
+    core = tx.core_type(F.col("qual_type"))
+    return facts.groupBy("kind", core.alias("core_type"), tx.is_external_primitive(core).alias("primitive")).agg(F.count(F.lit(1)).alias("n_uses"))
+
+
+_EDGE_CONTRACT = """
+WITH {last}, {r}, {e}, k AS (SELECT graph_name, title, count(DISTINCT id) AS n, max(type) AS kind FROM e GROUP BY ALL), x AS (SELECT * FROM r WHERE type = '{kind}'),
+c AS (SELECT x.graph_name, x.id, unnest([CASE WHEN coalesce(trim(x.id), '') = '' THEN 'empty_relationship_id' END, CASE WHEN count(*) OVER (PARTITION BY x.graph_name, x.id) > 1 THEN 'duplicate_relationship_id' END,
+ CASE WHEN isnan(confidence) OR confidence < 0 OR confidence > 1 THEN 'confidence_boundary' END, CASE WHEN isnan(confidence) OR isinf(confidence) THEN 'nan_or_infinity' END,
+ CASE WHEN is_deterministic IS DISTINCT FROM true THEN 'field_mismatch' END, CASE WHEN x.source IS NOT NULL AND x.target IS NOT NULL AND count(*) OVER (PARTITION BY x.graph_name, x.source, x.target) > 1 THEN 'duplicate_endpoint_pair' END,
+ CASE WHEN a.n IS NULL THEN 'dangling_source' END, CASE WHEN a.n > 1 THEN 'ambiguous_source_title' END, CASE WHEN a.n = 1 AND NOT a.kind IN ({s}) THEN 'invalid_source_kind' END,
+ CASE WHEN b.n IS NULL THEN 'dangling_target' END, CASE WHEN b.n > 1 THEN 'ambiguous_target_title' END, CASE WHEN b.n = 1 AND NOT b.kind IN ({t}) THEN 'invalid_target_kind' END]) AS code
+ FROM x LEFT JOIN k a ON a.graph_name = x.graph_name AND a.title = x.source LEFT JOIN k b ON b.graph_name = x.graph_name AND b.title = x.target)
+SELECT DISTINCT graph_name, id, code FROM c WHERE code IS NOT NULL"""
+_CONTRACT_COLUMNS = "id, source, target, type, confidence, is_deterministic"
+
+
+def _contract_sql(kind: str, source: str, target: str) -> str:
+    return _EDGE_CONTRACT.format(last=_LAST, r=_cur("relationships", _CONTRACT_COLUMNS, "r"), e=_cur("entities", "id, title, type", "e"), kind=kind, s=source, t=target)
+
+
+def _contract(spark, d, name):
+    rows = current(spark, d, "relationships", *_CONTRACT_COLUMNS.split(", "))
+    return contracts.row_anomalies(contracts.CONTRACTS[name], rows, _entities(spark, d), "legacy_absent")
+
+
+@query(_contract_sql("depends_on", "'file'", "'file'"))
+def dependency_contract(spark, d):
+    return _contract(spark, d, "dependency")
+
+
+@query(_contract_sql("includes", "'file'", "'file'"))
+def include_contract(spark, d):
+    return _contract(spark, d, "include")
+
+
+@query(_contract_sql("uses_type", "'function','struct','typedef'", "'struct','enum','typedef'"))
+def type_use_contract(spark, d):
+    return _contract(spark, d, "type_use")
+
+
+_LIVE = "id, preprocessor_dependent, preprocessor_reasons, preprocessor_eval_mode, preprocessor_macro_seed_digest, preprocessor_branches"
+
+
+@query(f"""WITH {_LAST}, {_cur('entities', _LIVE, 'e')}, p AS (SELECT *, (preprocessor_dependent IS NOT NULL)::INT + (preprocessor_reasons IS NOT NULL)::INT + (preprocessor_eval_mode IS NOT NULL)::INT + (preprocessor_macro_seed_digest IS NOT NULL)::INT + (preprocessor_branches IS NOT NULL)::INT AS n FROM e)
+SELECT DISTINCT graph_name, id, code FROM (SELECT graph_name, id, unnest([CASE WHEN n BETWEEN 1 AND 4 THEN 'partial_liveness_payload' END, CASE WHEN preprocessor_dependent <> (len(preprocessor_reasons) > 0) THEN 'dependent_reasons_mismatch' END,
+ CASE WHEN len(list_filter(preprocessor_branches, lambda b: b.start_line > b.end_line OR b.kind IS NULL OR NOT coalesce(b.liveness IN ('live','dead','unknown'), true))) > 0 THEN 'branch_contract' END,
+ CASE WHEN len(list_filter(preprocessor_reasons, lambda r: trim(r) = '')) > 0 THEN 'reason_contract' END, CASE WHEN NOT regexp_matches(preprocessor_macro_seed_digest, '^(sha256:)?[0-9a-f]{{12,64}}$') THEN 'digest_mismatch' END]) AS code FROM p) WHERE code IS NOT NULL""")
+def liveness_contract(spark, d):
+    return contracts.liveness_anomalies(current(spark, d, "entities", *_LIVE.split(", ")))
