@@ -217,20 +217,23 @@ class _Lexer:
         fresh = True
         while at < n:
             if fresh and not brackets:
-                col = alt = 0
-                while at < n and s[at] in " \t\f":
+                col = alt = continued = 0
+                while at < n and s[at] in " \t\f\\":
                     if s[at] == " ":
                         col, alt = col + 1, alt + 1
                     elif s[at] == "\t":
                         col, alt = (col // 8 + 1) * 8, alt + 1
-                    else:
+                    elif s[at] == "\f":
                         col = alt = 0
-                    at += 1
-                if at < n and s[at] == "\\" and s[at + 1 : at + 2] == "\n":
-                    # a continued blank start: the indentation of the first part counts
-                    at += 2
-                    while at < n and s[at] in " \t\f":
+                    elif s[at + 1 : at + 2] == "\n" and at + 2 < n:
+                        # a continued blank start: the indentation of the first part counts, if it has one
+                        continued = continued or col
                         at += 1
+                    else:
+                        raise SyntaxProblem("continuation", at)
+                    at += 1
+                if continued:
+                    col = alt = continued
                 if at >= n:
                     break
                 if s[at] == "#":
