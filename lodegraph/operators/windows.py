@@ -10,10 +10,20 @@ BY = "graph_name"
 
 
 def capped(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows of each group with the group's exact total and whether rows were left out."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"rank": F.row_number().over(w.orderBy(*order)), "total": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("rank") <= n).withColumn("truncated", F.col("total") > n)
+    """The first n rows of each group with the group's exact total and whether rows were left out.
+
+    The rank alone is limited, so each task keeps n rows of a group before the shuffle; the totals are a
+    separate aggregation with map-side partial counts.  A group with a third of all rows costs no task more
+    than its share.
+    """
+    shown, by = df.columns, by or ["_all"]
+    df = df if by != ["_all"] else df.withColumn("_all", F.lit(1))
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+    totals = df.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count(F.lit(1)).alias("total"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ranked.join(totals, same).select(*shown, "rank", "total", (F.col("total") > n).alias("truncated"))
 
 
 def hash_sample(df: DataFrame, by: list[str], identity: list[str], n: int, seed: int = 42) -> DataFrame:

@@ -549,7 +549,7 @@ def snapshot_diff_totals(spark, d):
     return diff.diff_summary(diff.row_diff(*_two(spark, d, "relationships", "id", "source", "target", "type"), ["graph_name", "id"]), ["graph_name"])
 
 
-@query()
+@query(f"WITH d AS ({SQL['snapshot_diff']}), k AS (SELECT graph_name, change, id, CAST(row_number() OVER (PARTITION BY graph_name, change ORDER BY encode(id)) AS INT) AS rank, count(*) OVER (PARTITION BY graph_name, change) AS total FROM d) SELECT *, total > 50 AS truncated FROM k WHERE rank <= 50")
 def snapshot_diff_samples(spark, d):
     found = diff.row_diff(*_two(spark, d, "entities", *_DIFF_COLUMNS), ["graph_name", "id"])
     return diff.diff_samples(found, ["graph_name"], "id", 50)
@@ -741,7 +741,8 @@ def macro_census(spark, d):
     return c_conditionals.macro_census(load(spark, d, "source_files"))
 
 
-@query()
+@query("""WITH f AS (SELECT DISTINCT graph_name, source_file, content FROM source_files WHERE source_file LIKE '%.json' AND content IS NOT NULL)
+SELECT n_cases, count(*) AS n_files FROM (SELECT CAST(CASE WHEN json_valid(content) THEN coalesce(json_array_length(content, '$.cases'), 0) ELSE 0 END AS INT) AS n_cases FROM f) GROUP BY 1""")
 def golden_cases(spark, d):
     files = load(spark, d, "source_files").where("source_file like '%.json' and content is not null").select("graph_name", "source_file", "content").distinct()
     return measures.json_cases(files).groupBy("n_cases").agg(F.count(F.lit(1)).alias("n_files"))

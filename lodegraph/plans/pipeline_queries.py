@@ -134,6 +134,9 @@ FROM (SELECT table_name, ref_field, graph_name, snapshot_id, count(*) AS n FROM
 LEFT JOIN (SELECT graph_name, snapshot_id, min(created_at) AS created_at FROM snapshots GROUP BY ALL) USING (graph_name, snapshot_id)
 GROUP BY ALL""",
     "p3_found": P3_SQL,
+    "p3_kinds": P3_SQL.replace("SELECT DISTINCT ast_id, parent_path, node_path FROM n WHERE parent_path IS NOT NULL", """,
+k AS (SELECT DISTINCT ast_id, node_path, CASE WHEN json_type(j->'kind') = 'VARCHAR' THEN j->>'kind' END AS kind, CASE WHEN json_type(j->'loc'->'file') = 'VARCHAR' THEN j->'loc'->>'file' END AS file FROM n)
+SELECT kind, count(*) AS n_nodes, count(DISTINCT ast_id) AS n_records, CAST(max(len(string_split(node_path, '.')) - 1) AS INT) AS max_depth, count(file) AS n_files FROM k GROUP BY kind"""),
     "p5_found": P5_SQL,
     "p5_rates": f"SELECT table_name, graph_name, diff_kind, count(*) AS n_records FROM ({P5_SQL}) GROUP BY ALL",
 }
