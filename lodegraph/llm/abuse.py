@@ -50,10 +50,14 @@ _LOOKALIKE_ONLY = re.compile(r"[аеорсухіѕјһԁԛԝαορνι]+")
 _DIGIT_LETTERS = str.maketrans("013457@$!|8", "oieastasilb")
 _SENTENCE = re.compile(r"[.!?;:]+(?=\s|$)|[。！？；\n]|\*/|/\*|\"\"\"")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
 _MASKED = re.compile(r"(?<![\w*+/=])([^\W\d_]+)([*#%@]{1,6})([^\W\d_]+)(?![\w*+/=])")
-_LEET = re.compile(r"(?<![\w+/=])(?=[\w@$!|]*[^\W\d_])(?=[\w@$!|]*[0-9@$!|])[^\W_]?[\w@$!|]{2,15}(?![\w+/=])")
+_SIGN_HINT = re.compile(r"[@$!|][^\W_]")
+_SIGNED = re.compile(r"(?<![\w+/=@$!|])(?=[^\W_]*[@$!|])[^\W_]?[\w@$!|]{2,15}(?![\w+/=])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+_MASK_HINT = re.compile(r"[*#%@][^\W\d_]")
+_FOREIGN_WORD = re.compile(r"[^\W_]*[^\x00-\x7f\W_][^\W_]*")
+_SHOUT = re.compile(r"(?:\b[A-Z]{2,}\b[ ,.!']*){4,}")
+_SHOUT_HINT = re.compile(r"[A-Z]{2}[ ,.!']+[A-Z]{2}")
 _HAS_CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
 
 
@@ -81,22 +85,15 @@ for _w in dict.fromkeys(["fuck", "kill", "suck", "lick", "screw", "strip", *_HAR
     _BY_SHAPE.setdefault((_w[0], _w[-1], len(_w)), []).append(_w)
 _HARD_SET = set(_HARD) | {"kill", "suck", "lick", "screw", "strip", "vermin", "filth", "trash", "animals", "plague"}
 
-_memo: dict[str, int] = {}
-
-
 def bits_of(word: str) -> int:
-    got = _memo.get(word)
-    if got is None:
-        got = _EXACT.get(word, 0)
-        for n in _START_LENGTHS:
-            if n > len(word):
-                break
-            got |= _STARTS.get(word[:n], 0)
-        if not got and word.endswith(("'s", "’s")):
-            got = bits_of(word[:-2])
-        if len(_memo) > 200_000:
-            _memo.clear()
-        _memo[word] = got
+    """Categories of a word in plain spelling, one bit each."""
+    got = _EXACT.get(word, 0)
+    for n in _START_LENGTHS:
+        if n > len(word):
+            break
+        got |= _STARTS.get(word[:n], 0)
+    if not got and word.endswith(("'s", "’s")):
+        got = bits_of(word[:-2])
     return got
 
 
@@ -121,21 +118,12 @@ def normalised(text: str) -> tuple[str, int]:
                     return t
             return w
 
-        text = _WORD.sub(plain, text)
+        text = _FOREIGN_WORD.sub(plain, text)
         if mixed:
             disguised += 1
-            text = _WORD.sub(lambda m: m[0].lower().translate(_LOOKALIKE) if _LOOKALIKE_ONLY.fullmatch(m[0].lower()) else m[0], text)
+            text = _FOREIGN_WORD.sub(lambda m: m[0].lower().translate(_LOOKALIKE) if _LOOKALIKE_ONLY.fullmatch(m[0].lower()) else m[0], text)
     text = text.lower()
 
-    def spaced(m):
-        nonlocal disguised
-        letters = re.sub(r"[ .\-_*]", "", m[0])
-        for cut in range(min(3, len(letters) - 2)):
-            if letters[cut:] in _HARD_SET or (len(letters) - cut > 4 and _hard(letters[cut:])):
-                disguised += 1
-                return " ".join([*letters[:cut], letters[cut:]])
-        return m[0]
-
     def masked(m):
         nonlocal disguised
         a, stars, b = m.groups()
@@ -147,33 +135,106 @@ def normalised(text: str) -> tuple[str, int]:
                     return w
         return m[0]
 
-    def leet(m):
-        nonlocal disguised
-        w = m[0]
-        for t in (w.translate(_DIGIT_LETTERS), w.replace("1", "l").translate(_DIGIT_LETTERS)):
-            if t.isalpha() and _hard(t):
-                disguised += 1
-                return t
-        return w
-
-    def stretched(m):
-        nonlocal disguised
-        w = m[0]
-        for t in (_STRETCHED.sub(r"\1", w), _STRETCHED.sub(r"\1\1", w)):
-            if t != w and _hard(t):
-                disguised += 1
-                return t
-        return w
-
-    text = _SPACED.sub(spaced, text)
-    if any(c in text for c in "*#%@"):
+    if _MASK_HINT.search(text):
         text = _MASKED.sub(masked, text)
-    text = _LEET.sub(leet, text)
-    if _STRETCHED.search(text):
-        text = re.sub(r"[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*", stretched, text)
+    if _SIGN_HINT.search(text):
+
+        def signs(m):
+            nonlocal disguised
+            plain = _from_signs(m[0])
+            disguised += plain is not None
+            return plain or m[0]
+
+        text = _SIGNED.sub(signs, text)
     return text, disguised
 
 
+def _from_signs(word: str) -> str | None:
+    """The abusive word that digits and signs stand for."""
+    if len(word) < 3:
+        return None
+    for t in (word.translate(_DIGIT_LETTERS), word.replace("1", "l").translate(_DIGIT_LETTERS)):
+        if t.isalpha() and _hard(t):
+            return t
+    return None
+
+
+def _from_letters(letters: str) -> list[str] | None:
+    """Spaced letters as words: an abusive word, with at most two single letters before it."""
+    for cut in range(min(3, len(letters) - 2)):
+        if letters[cut:] in _HARD_SET or (len(letters) - cut > 4 and _hard(letters[cut:])):
+            return [*letters[:cut], letters[cut:]]
+    return None
+
+
+def _plain(word: str) -> list[str] | None:
+    """What a single disguised word says: spaced by hyphens, stretched, or spelled with digits."""
+    parts = word.split("-")
+    if len(parts) > 2 and all(len(p) == 1 for p in parts):
+        return _from_letters("".join(parts))
+    if not word.isalpha():
+        found = _from_signs(word)
+        if found:
+            return [found]
+    if _STRETCHED.search(word):
+        for t in (_STRETCHED.sub(r"\1", word), _STRETCHED.sub(r"\1\1", word)):
+            if _hard(t):
+                return [t]
+    return None
+
+
+#: word -> (categories, plain words if it is a disguise); only a cache, results do not depend on it
+_memo: dict[str, tuple[int, list[str] | None]] = {}
+
+
+def _look(word: str) -> tuple[int, list[str] | None]:
+    got = _memo.get(word)
+    if got is None:
+        bits = bits_of(word)
+        got = (bits, None if bits else _plain(word))
+        if len(_memo) > 200_000:
+            _memo.clear()
+        _memo[word] = got
+    return got
+
+
+def plain_words(words: list[str]) -> tuple[list[str], list[int], int]:
+    """Words of a sentence in plain spelling, their categories, and how many disguises were undone."""
+    looked = [_look(w) for w in words]
+    disguised = 0
+    if any(p for _, p in looked):
+        out: list[str] = []
+        for w, (_, p) in zip(words, looked, strict=True):
+            out += p or [w]
+            disguised += p is not None
+        words, looked = out, [_look(w) for w in out]
+    if sum(len(w) == 1 for w in words) > 2:
+        out, run = [], []
+        for w in [*words, ""]:
+            if len(w) == 1 and w.isalpha():
+                run.append(w)
+                continue
+            found = _from_letters("".join(run)) if len(run) > 2 else None
+            disguised += found is not None
+            out += found or run
+            run = []
+            out += [w] if w else []
+        if out != words:
+            words, looked = out, [_look(w) for w in out]
+    return words, [b for b, _ in looked], disguised
+
+
+def undisguised(text: str) -> tuple[str, int]:
+    """A whole text in plain spelling, sentence by sentence, and how many disguises were undone."""
+    plain, n = normalised(text)
+    out = []
+    for sentence in _SENTENCE.split(plain):
+        words, _, k = plain_words(_WORD.findall(sentence))
+        out.append(" ".join(words))
+        n += k
+    return ". ".join(out), n
+
+
 PHRASE_KINDS = list(PHRASES)
 _COMBOS = [
     ("vulgar", "second"), ("insult", "second"), ("insult", "person"), ("threat", "second"), ("selfharm", "second"), ("group", "dehuman"),
@@ -184,6 +245,7 @@ FEATURES = (
     + [f"density_{c}" for c in _STRONG] + ["near_second", "phrase_total", "phrase_second", "worst", "disguised", "shouted", "exclaimed", "marks", "sentences", "cjk_abuse"]
 )
 N_FEATURES = len(FEATURES)
+_TELLING = [CATEGORIES.index(c) for c in _STRONG]
 _N_CAT, _SECOND = len(CATEGORIES), CATEGORIES.index("second")
 _COMBO_INDEX = [(CATEGORIES.index(a), CATEGORIES.index(b)) for a, b in _COMBOS]
 
@@ -205,10 +267,13 @@ def features(text: str | None) -> np.ndarray:
             continue
         n_sentences += 1
         n_words += len(words)
+        words, found, undone = plain_words(words)
+        disguised += undone
+        if not has_cjk and not any(found):
+            continue
         counts = [0] * n_cat
         bad_at, you_at = [], []
-        for i, w in enumerate(words):
-            bits = bits_of(w)
+        for i, bits in enumerate(found):
             if bits:
                 if bits & _ABUSIVE:
                     bad_at.append(i)
@@ -227,8 +292,11 @@ def features(text: str | None) -> np.ndarray:
                 nearest = 1.0
         if not any(counts):
             continue
-        joined = " ".join(words)
-        phrases = [len(p.findall(joined)) for p in _PHRASES.values()]
+        if you_at or any(map(counts.__getitem__, _TELLING)):
+            joined = " ".join(words)
+            phrases = [len(p.findall(joined)) for p in _PHRASES.values()]
+        else:  # every phrase holds a word of a telling category or names somebody
+            phrases = [0] * n_ph
         if bad_at and you_at:
             nearest = max(nearest, 1.0 / (1 + min(abs(a - b) for a in bad_at for b in you_at)))
         n_phrases = sum(map(bool, phrases))
@@ -247,7 +315,7 @@ def features(text: str | None) -> np.ndarray:
                     top[k] = v
         for k, v in enumerate(counts):
             total[k] += v
-    shouted = sum(len(m) for m in re.findall(r"(?:\b[A-Z]{2,}\b[ ,.!']*){4,}", text))
+    shouted = sum(map(len, _SHOUT.findall(text))) if _SHOUT_HINT.search(text) else 0
     out[:n_cat] = top_cat
     at = n_cat
     out[at : at + n_ph] = top_phrase
