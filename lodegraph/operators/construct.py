@@ -48,7 +48,7 @@ def resolve_titles(refs: DataFrame, entities: DataFrame) -> DataFrame:
         "c_internal": F.when(internal, F.concat_ws(":", "stem", tail)),
         "c_dotted": F.when(internal, F.concat_ws(":", "stem", F.replace(tail, F.lit("_"), F.lit(".")))),
         "c_context": F.when(F.instr("raw", ":") > 0, F.concat_ws(":", "stem", F.regexp_extract("raw", r":(.*)$", 1))),
-        "bare": F.trim(F.substring_index("raw", ":", -1)),
+        "bare": F.regexp_replace(F.substring_index("raw", ":", -1), r"(?U)^\s+|\s+$", ""),
     })
     for column in ("raw", "c_internal", "c_dotted", "c_context"):
         r = r.join(known.select(BY, F.col("title").alias(column), F.col("hit").alias(f"hit_{column}")), [BY, column], "left")

@@ -25,9 +25,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], block: int
 def branches_for_spans(facts: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """The conditional regions that each fact's lines touch, include guards left out, each region once.
 
+    Regions of one kind on the same lines are one region; the least (condition, liveness, basis) describes it.
+
     ``facts``: keys, id, first, last; ``regions``: keys, first, last, kind, condition, liveness, basis, is_guard.
     """
-    open_regions = regions.where("not is_guard").drop("is_guard").dropDuplicates([*keys, "first", "last", "kind"])
+    told = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("condition", "liveness", "basis")]
+    least = regions.where("not is_guard").groupBy(*keys, "first", "last", "kind").agg(F.min(F.struct(*told)).alias("_r"))
+    open_regions = least.select(*keys, "first", "last", "kind", "_r.*")
     return overlap_join(facts, open_regions, keys).select(*keys, "id", "kind", "condition", "r_first", "r_last", "liveness", "basis")
 
 

@@ -590,7 +590,8 @@ from lodegraph.operators import construct, intervals  # noqa: E402
 _FACTS = """f AS (SELECT graph_name, source_file, id, TRY_CAST(regexp_extract(span, '^([0-9]+)', 1) AS INT) AS a,
  CASE WHEN span LIKE '%-%' THEN TRY_CAST(regexp_extract(span, '-([0-9]+):', 1) AS INT) ELSE TRY_CAST(regexp_extract(span, '^([0-9]+)', 1) AS INT) END AS z
  FROM e WHERE type <> 'file' AND regexp_matches(span, '^[0-9]+:[0-9]+(-[0-9]+:[0-9]+)?$')),
-g AS (SELECT DISTINCT graph_name, source_file, b.kind AS kind, b.condition AS condition, b.start_line AS s, b.end_line AS t, b.liveness AS liveness, b.basis AS basis FROM (SELECT graph_name, source_file, unnest(preprocessor_branches) AS b FROM e WHERE type = 'file'))"""
+g AS (SELECT graph_name, source_file, kind, s, t, m.c AS condition, m.l AS liveness, m.b AS basis FROM (SELECT graph_name, source_file, b.kind AS kind, b.start_line AS s, b.end_line AS t,
+ min({'c': coalesce(b.condition, ''), 'l': coalesce(b.liveness, ''), 'b': coalesce(b.basis, '')}) AS m FROM (SELECT graph_name, source_file, unnest(preprocessor_branches) AS b FROM e WHERE type = 'file') GROUP BY ALL))"""
 _BRANCH_COLUMNS = "id, type, source_file, span, preprocessor_branches"
 
 
@@ -637,7 +638,7 @@ def enclosing_functions(spark, d):
 t AS (SELECT graph_name, title, min(human_readable_id) AS o FROM e GROUP BY ALL), b AS (SELECT graph_name, regexp_extract(title, '([^:]*)$', 1) AS bare, arg_min(title, (o, title)) AS of_bare FROM t GROUP BY ALL),
 i AS (SELECT graph_name, id, arg_min(title, human_readable_id) AS of_id FROM e GROUP BY ALL),
 q AS (SELECT DISTINCT graph_name, raw, regexp_extract(source_file, '([^/]+)\\.[^./]+$', 1) AS stem FROM (SELECT graph_name, source AS raw, source_file FROM r UNION ALL SELECT graph_name, target, source_file FROM r) WHERE raw IS NOT NULL AND raw <> ''),
-p AS (SELECT *, string_split(raw, ':') AS s, trim(regexp_extract(raw, '([^:]*)$', 1)) AS bare FROM q),
+p AS (SELECT *, string_split(raw, ':') AS s, regexp_replace(regexp_extract(raw, '([^:]*)$', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS bare FROM q),
 k AS (SELECT *, CASE WHEN starts_with(raw, 'ent:') AND len(s) >= 3 THEN CASE WHEN s[2] = 'file' THEN array_to_string(s[3:], ':') WHEN len(s) >= 4 THEN array_to_string(s[4:], ':') ELSE s[-1] END END AS tail FROM p),
 c AS (SELECT k.*, stem || ':' || tail AS ci, stem || ':' || replace(tail, '_', '.') AS cd, CASE WHEN contains(raw, ':') THEN stem || ':' || regexp_extract(raw, ':(.*)$', 1) END AS cc FROM k)
 SELECT c.graph_name, c.raw, c.stem,
