@@ -490,20 +490,221 @@ def detect_charset(data: bytes) -> str | None:
     return best
 
 
-# --- small machines ------------------------------------------------------------------------------
+# --- patch texts ---------------------------------------------------------------------------------
 
+_CONTEXT = 4
 
-def simulate(jumps: list[int], ticks: int, gravity: float = 1.0, lift: float = -10.0, floor: float = 0.0) -> list[dict]:
-    """A falling body that may jump from the floor: one state per tick."""
-    y = vy = 0.0
+
+def _encoded(text: str) -> str:
+    from urllib.parse import quote
+
+    return quote(text, safe=" !~*'();/?:@&=+$,#")
+
+
+def make_patches(a: str, b: str) -> str:
+    """Edits with up to four characters of context on either side, in the unidiff-like text form."""
+    hunks: list[list] = []  # [start in a, start in b, parts]
+    at_a = at_b = 0
+    script = diff(a, b)
+    for n, (kind, text) in enumerate(script):
+        if kind == 0:
+            if hunks and n + 1 < len(script) and len(text) <= 2 * _CONTEXT and hunks[-1][2][-1][0] != 0:
+                hunks[-1][2].append((0, text))
+            elif hunks and hunks[-1][2][-1][0] != 0:
+                hunks[-1][2].append((0, text[:_CONTEXT]))
+                hunks[-1].append("closed")
+            at_a += len(text)
+            at_b += len(text)
+            continue
+        if not hunks or hunks[-1][-1] == "closed":
+            before = a[max(0, at_a - _CONTEXT) : at_a]
+            hunks.append([at_a - len(before), at_b - len(before), [(0, before)] if before else []])
+        hunks[-1][2].append((kind, text))
+        at_a += len(text) * (kind < 0)
+        at_b += len(text) * (kind > 0)
     out = []
-    wanted = set(jumps)
-    for t in range(ticks):
-        if t in wanted and y >= floor:
-            vy = lift
-        vy += gravity
-        y = min(floor, y + vy)
-        if y >= floor:
-            vy = 0.0
-        out.append({"tick": t, "y": y, "vy": vy})
+    for start_a, start_b, parts, *_ in hunks:
+        sizes = [sum(len(t) for k, t in parts if k != sign) for sign in (1, -1)]
+        place = [f"{s},0" if n == 0 else str(s + 1) if n == 1 else f"{s + 1},{n}" for s, n in zip((start_a, start_b), sizes, strict=True)]
+        out.append(f"@@ -{place[0]} +{place[1]} @@\n" + "".join("-  +"[k + 1 + (k > 0)] + _encoded(t) + "\n" for k, t in parts))
+    return "".join(out)
+
+
+def read_patches(text: str) -> list[tuple[int, list[tuple[int, str]]]]:
+    """(start in the old text, edits) of each hunk; ValueError for a text that is no patch."""
+    from urllib.parse import unquote
+
+    out: list[tuple[int, list[tuple[int, str]]]] = []
+    for line in text.split("\n"):
+        if not line:
+            continue
+        if m := re.fullmatch(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@", line):
+            out.append((int(m[1]) - (m[2] != "0"), []))
+        elif not out:
+            raise ValueError(f"Invalid patch string: {line}")
+        elif line[0] in "-+ ":
+            out[-1][1].append(({"-": -1, "+": 1, " ": 0}[line[0]], unquote(line[1:])))
+        else:
+            raise ValueError(f"Invalid patch mode: {line[0]!r}")
+    return out
+
+
+def apply_patches(text: str, patch: str) -> str:
+    """The text after every hunk whose old passage is found, exactly or nearly, about where it should be."""
+    shift = 0
+    for start, parts in read_patches(patch):
+        old, new = ("".join(t for k, t in parts if k != sign) for sign in (1, -1))
+        at = fuzzy_find(text, old, start + shift) if old else min(start + shift, len(text))
+        if at < 0:
+            shift -= len(new) - len(old)
+            continue
+        found = text[at : at + len(old)]
+        if found != old:  # carry the edits over to what stands there now
+            new = _carried(found, old, parts)
+        text = text[:at] + new + text[at + len(found) :]
+        shift = at - start + len(new) - len(found)
+    return text
+
+
+def _carried(found: str, old: str, parts: list[tuple[int, str]]) -> str:
+    place, i, j = [], 0, 0  # where each old position lies in the found passage
+    for kind, t in diff(old, found):
+        if kind <= 0:
+            place += [j + (k if kind == 0 else 0) for k in range(len(t))]
+            i += len(t)
+        if kind >= 0:
+            j += len(t)
+    place.append(len(found))
+    out, at, last = [], 0, 0
+    for kind, t in parts:
+        if kind == 1:
+            out += [found[last : place[at]], t]
+            last = max(last, place[at])
+        elif kind == -1:
+            out.append(found[last : place[at]])
+            at += len(t)
+            last = max(last, place[at])
+        else:
+            at += len(t)
+    return "".join(out) + found[last:]
+
+
+# --- a small language ----------------------------------------------------------------------------
+
+_PRECEDENCE = {"+": 1, "-": 1, "*": 2, "/": 2, "neg": 3}
+#: Names of the kinds of token in messages.
+_TOKEN_NAMES = {"+": "PLUS", "-": "MINUS", "*": "STAR", "/": "SLASH", "(": "LPAREN", ")": "RPAREN", "=": "EQUALS", ";": "SEMICOLON", "\n": "SEMICOLON", "let": "LET", "": "EOF"}
+
+
+class ProgramError(ValueError):
+    pass
+
+
+def _program_tokens(source: str) -> list[str]:
+    out, at = [], 0
+    word = re.compile(r"[ \t\r]+|[^\W\d]\w*|[\d.]+|[-+*/()=;\n]")
+    while at < len(source):
+        m = word.match(source, at)
+        if not m:
+            raise ProgramError(f"LexError: unknown token {source[at]!r} at position {at}")
+        t = m[0]
+        if t[0] in "0123456789." and (t.count(".") > 1 or t == "."):
+            raise ProgramError(f"LexError: malformed number at position {at}")
+        if t[0] not in " \t\r":
+            out.append(t)
+        at = m.end()
+    return [*out, ""]
+
+
+def _kind(t: str) -> str:
+    return _TOKEN_NAMES.get(t) or ("NUMBER" if t[0] in "0123456789." else "IDENT")
+
+
+def compile_program(source: str) -> list[tuple[str | None, list]]:
+    """Statements as (name or None, postfix code). Operators wait on a stack until a weaker one comes."""
+    t = _program_tokens(source)
+    i, out = 0, []
+
+    def expect(kind: str) -> str:
+        nonlocal i
+        if _kind(t[i]) != kind:
+            raise ProgramError(f"ParseError: expected {kind}, got {_kind(t[i])} {t[i]!r}")
+        i += 1
+        return t[i - 1]
+
+    def expression() -> list:
+        nonlocal i
+        code, waiting, depth = [], [], 0
+        while True:
+            while t[i] == "-":
+                waiting.append("neg")
+                i += 1
+            if t[i] == "(":
+                waiting.append("(")
+                depth += 1
+                i += 1
+                continue
+            if _kind(t[i]) not in ("NUMBER", "IDENT"):
+                raise ProgramError(f"ParseError: unexpected token {t[i]!r}" if t[i] else "ParseError: unexpected end of input")
+            code.append(float(t[i]) if _kind(t[i]) == "NUMBER" else ("get", t[i]))
+            i += 1
+            while t[i] == ")" and depth:
+                while waiting[-1] != "(":
+                    code.append(("do", waiting.pop()))
+                waiting.pop()
+                depth -= 1
+                i += 1
+            if t[i] not in ("+", "-", "*", "/") or not t[i]:
+                break
+            while waiting and waiting[-1] != "(" and _PRECEDENCE[waiting[-1]] >= _PRECEDENCE[t[i]]:
+                code.append(("do", waiting.pop()))
+            waiting.append(t[i])
+            i += 1
+        if depth:
+            expect("RPAREN")
+        return code + [("do", w) for w in reversed(waiting)]
+
+    while t[i]:
+        if t[i] in (";", "\n"):
+            i += 1
+            continue
+        name = None
+        if t[i] == "let":
+            i += 1
+            name = expect("IDENT")
+            expect("EQUALS")
+        out.append((name, expression()))
+        if t[i] and t[i] not in (";", "\n"):
+            raise ProgramError(f"ParseError: unexpected token {t[i]!r} after statement")
     return out
+
+
+def run_program(source: str) -> dict:
+    """{stdout, error}: the values of bare expressions, or the first error and no output."""
+    env: dict[str, float] = {}
+    shown = []
+    try:
+        for name, code in compile_program(source):
+            stack: list[float] = []
+            for step in code:
+                if isinstance(step, float):
+                    stack.append(step)
+                elif step[0] == "get":
+                    if step[1] not in env:
+                        raise ProgramError(f"UndefinedVariable: variable {step[1]!r} is not defined")
+                    stack.append(env[step[1]])
+                elif step[1] == "neg":
+                    stack.append(-stack.pop())
+                else:
+                    b, a = stack.pop(), stack.pop()
+                    if step[1] == "/" and b == 0:
+                        raise ProgramError("DivisionByZero: division by zero")
+                    stack.append({"+": a + b, "-": a - b, "*": a * b, "/": a / b if b else 0.0}[step[1]])
+            if name is None:
+                x = stack[0]
+                shown.append(str(int(x)) if x == int(x) and abs(x) < 1e15 else f"{x:.10f}".rstrip("0").rstrip("."))
+            else:
+                env[name] = stack[0]
+    except ProgramError as e:
+        return {"stdout": [], "error": str(e)}
+    return {"stdout": shown, "error": None}

@@ -940,3 +940,36 @@ SELECT DISTINCT graph_name, id, code FROM (SELECT graph_name, id, unnest([CASE W
  CASE WHEN len(list_filter(preprocessor_reasons, lambda r: trim(r) = '')) > 0 THEN 'reason_contract' END, CASE WHEN NOT regexp_matches(preprocessor_macro_seed_digest, '^(sha256:)?[0-9a-f]{{12,64}}$') THEN 'digest_mismatch' END]) AS code FROM p) WHERE code IS NOT NULL""")
 def liveness_contract(spark, d):
     return contracts.liveness_anomalies(current(spark, d, "entities", *_LIVE.split(", ")))
+
+
+# --- recurrences, offsets, programs --------------------------------------------------------------
+
+from lodegraph.operators import comparisons, simulation  # noqa: E402
+
+
+@query("""WITH t AS (SELECT s_suppkey AS run, tick, tick IN (s_suppkey % 11, s_suppkey % 29) AS jump FROM supplier, range(50) r(tick)),
+j AS (SELECT *, max(CASE WHEN jump THEN tick END) OVER (PARTITION BY run ORDER BY tick) AS jumped FROM t),
+v AS (SELECT *, CASE WHEN jumped IS NOT NULL THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END + coalesce(tick - jumped + 1, tick + 1) * (-0.8::DOUBLE) AS vy FROM j),
+y AS (SELECT *, sum(vy) OVER (PARTITION BY run ORDER BY tick) AS y, (tick + 1) * 1.0::DOUBLE AS x FROM v),
+h AS (SELECT *, max((abs(x - 10) <= 0.6 AND y BETWEEN -1 - 1e-9 AND 2 + 1e-9 OR abs(x - 22) <= 0.6 AND y BETWEEN 1 - 1e-9 AND 5 + 1e-9 OR abs(x - 35) <= 0.6 AND y BETWEEN -2 - 1e-9 AND 1.5 + 1e-9)::INT) OVER (PARTITION BY run ORDER BY tick) AS c FROM y)
+SELECT run, CAST(tick AS INT) AS tick, round(x, 4) AS x, round(y, 4) AS y, round(vy, 4) AS vy, CAST(sum(1 - c) OVER (PARTITION BY run ORDER BY tick) AS INT) AS score, c = 1 AS collided FROM h""")
+def simulations(spark, d):
+    s = load(spark, d, "supplier")
+    jumps = F.array((F.col("s_suppkey") % 11).cast("int"), (F.col("s_suppkey") % 29).cast("int"))
+    return simulation.simulate(s.select(F.col("s_suppkey").alias("run"), jumps.alias("jumps")))
+
+
+@query("""WITH f AS (SELECT DISTINCT graph_name || '/' || source_file AS file, content FROM source_files WHERE content IS NOT NULL AND regexp_matches(source_file, '\\.[ch]$')),
+l AS (SELECT file, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM f)
+SELECT file, CAST(line AS INT) AS line, CAST(coalesce(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM l""")
+def line_offsets(spark, d):
+    f = load(spark, d, "source_files").where(r"content is not null and source_file rlike '\\.[ch]$'").select(F.concat_ws("/", "graph_name", "source_file").alias("file"), "content").distinct()
+    return comparisons.byte_offsets(f)
+
+
+@query("SELECT p_partkey, CAST(p_size * 3 + p_partkey AS VARCHAR) AS shown FROM part")
+def small_programs(spark, d):
+    """A two-statement program per part, compiled and run."""
+    run = plain.vectorised(lambda s: plain.run_program(s)["stdout"][0], "string")
+    source = F.concat(F.lit("let a = "), F.col("p_size").cast("string"), F.lit("; a * (1 + 2) + "), F.col("p_partkey").cast("string"))
+    return load(spark, d, "part").select("p_partkey", run(source).alias("shown"))
