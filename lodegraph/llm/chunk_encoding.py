@@ -9,8 +9,8 @@
    this goes on until a piece boundary of the new split coincides with one of the right chunk's own.
    Splitting looks only forward, so from a common boundary on both agree to the token.
 
-Shuffled are the distinct chunk texts, then two bytes per token; an AQE skew join handles chunks that a
-third of the documents share.  No step looks at more than one document or one chunk at a time.
+Shuffled are the distinct chunk texts (combined map-side), the places of the chunks, then two bytes per
+token.  Chunks that a third of the documents share are broadcast instead.  No step looks at more than one document or one chunk at a time.
 
 Defined results
 ---------------
@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.vocab import BYTE_BPE_50K, encoding, splitter
 
-MIN_CHUNK, MASK_BITS, MAX_CHUNK, SAFE_WITHIN = 96, 8, 4096, 96
+MIN_CHUNK, MASK_BITS, MAX_CHUNK, SAFE_WITHIN = 96, 9, 4096, 96
+#: A chunk with more occurrences is broadcast: at most one in so many occurrences is such a chunk, which
+#: bounds the broadcast to a few hundred bytes per million chunks of the corpus.
+HOT_OCCURRENCES = 1_000_000
 WINDOW_DOUBLINGS = 5  # 32 bytes
 
 _GEAR = np.random.default_rng(0x5EED).integers(0, 2**32, 256, dtype=np.uint32)
@@ -133,13 +136,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encoder(path: str):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of a chunk as two bytes each. A column function: the plan keeps its partitioning by digest."""
+    import pandas as pd
+
+    def encode(chunk):
         enc = encoding(path)
-        for b in batches:
-            ids = [np.array(enc.encode_ordinary(t), np.uint16).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["h1", "h2", "ids"])
+        return chunk.map(lambda t: np.array(enc.encode_ordinary(t), np.uint16).tobytes())
 
-    return encode
+    encode.__annotations__ = {"chunk": pd.Series, "return": pd.Series}
+    return F.pandas_udf(encode, "binary")
 
 
 def join_repaired(pieces: list[tuple[str, np.ndarray]], enc) -> list[np.ndarray]:
@@ -245,11 +250,16 @@ def encode_corpus(documents: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
     chunks = full.mapInArrow(_chunks, CHUNK_SCHEMA).withColumns(
         {"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(7), "chunk", F.lit(11))}
     )
-    distinct = chunks.groupBy("h1", "h2", "chunk").agg(F.lit(1).alias("_one")).select("h1", "h2", "chunk")
-    encoded = distinct.mapInArrow(_encoder(path), "h1 bigint, h2 bigint, ids binary")
-    placed = chunks.select(
-        "doc_id", "text_hash", "seq", "safe", F.when(F.col("kept"), F.col("chunk")).alias("text"), "h1", "h2"
-    ).join(encoded, ["h1", "h2"])
+    # one exchange, by digest, serves the grouping and the join with what it yields
+    encoded = (
+        chunks.groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("n"))
+        .select("h1", "h2", "n", _encoder(path)("chunk").alias("ids"))
+    )
+    places = chunks.select("doc_id", "text_hash", "seq", "safe", F.when(F.col("kept"), F.col("chunk")).alias("text"), "h1", "h2")
+    # chunks of very many documents go to the documents, not the documents to them
+    hot = F.broadcast(encoded.where(F.col("n") > HOT_OCCURRENCES).select("h1", "h2", "ids"))
+    rare = encoded.where(F.col("n") <= HOT_OCCURRENCES).select("h1", "h2", "ids")
+    placed = places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(rare, ["h1", "h2"]).unionByName(places.join(hot, ["h1", "h2"]))
     parts = placed.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("seq", "safe", "ids", "text"))).alias("parts")
     )

@@ -51,6 +51,14 @@ def test_whole_corpus_equals_direct_encoding(spark):
     assert got == {k: ENC.encode_ordinary(t or "") for k, t in texts.items()}
 
 
+def test_hot_chunks_take_the_other_way(spark, monkeypatch):
+    texts = {i: "License text that everybody copies, word by word. " * 60 + f"own end {i}" for i in range(12)}
+    for bound in (0, 3, 11, 12):
+        monkeypatch.setattr(ce, "HOT_OCCURRENCES", bound)
+        got = {r["doc_id"]: r["ids"] for r in ce.encode_corpus(documents(spark, list(texts.items()))).collect()}
+        assert got == {k: ENC.encode_ordinary(t) for k, t in texts.items()}
+
+
 def test_every_document_comes_out_once(spark):
     df = ce.encode_corpus(documents(spark, [(1, "a b"), (1, "a b"), (2, None), (2, None)]))
     assert sorted((r[0], len(r[1])) for r in df.collect()) == [(1, 2), (2, 0)] and df.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
