@@ -250,16 +250,22 @@ def encode_corpus(documents: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
     chunks = full.mapInArrow(_chunks, CHUNK_SCHEMA).withColumns(
         {"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(7), "chunk", F.lit(11))}
     )
-    # one exchange, by digest, serves the grouping and the join with what it yields
+    here = ["doc_id", "text_hash", "seq", "safe"]
     encoded = (
-        chunks.groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("n"))
-        .select("h1", "h2", "n", _encoder(path)("chunk").alias("ids"))
-    )
-    places = chunks.select("doc_id", "text_hash", "seq", "safe", F.when(F.col("kept"), F.col("chunk")).alias("text"), "h1", "h2")
+        chunks.groupBy("h1", "h2")
+        .agg(F.first("chunk").alias("chunk"), F.first(F.struct(*here, "kept")).alias("at"), F.count(F.lit(1)).alias("n"))
+        .select("h1", "h2", "n", "at", "chunk", _encoder(path)("chunk").alias("ids"))
+    )
+    # all branches read the same columns of the grouping, so that they share its one exchange
+    whole = F.col("at.seq") >= 0
+    # a chunk that occurs once needs no join: the grouping knows its place
+    lone = encoded.where("n = 1").select(*[F.col(f"at.{c}") for c in here], F.when(F.col("at.kept"), F.col("chunk")).alias("text"), "ids")
+    places = chunks.select(*here, F.when(F.col("kept"), F.col("chunk")).alias("text"), "h1", "h2")
     # chunks of very many documents go to the documents, not the documents to them
-    hot = F.broadcast(encoded.where(F.col("n") > HOT_OCCURRENCES).select("h1", "h2", "ids"))
-    rare = encoded.where(F.col("n") <= HOT_OCCURRENCES).select("h1", "h2", "ids")
-    placed = places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(rare, ["h1", "h2"]).unionByName(places.join(hot, ["h1", "h2"]))
+    hot = F.broadcast(encoded.where((F.col("n") > HOT_OCCURRENCES) & whole).select("h1", "h2", "ids"))
+    shared = encoded.where((F.col("n") > 1) & (F.col("n") <= HOT_OCCURRENCES) & whole).select("h1", "h2", "ids")
+    often = places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(shared, ["h1", "h2"]).unionByName(places.join(hot, ["h1", "h2"]))
+    placed = lone.unionByName(often.drop("h1", "h2"))
     parts = placed.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("seq", "safe", "ids", "text"))).alias("parts")
     )
