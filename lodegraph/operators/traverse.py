@@ -16,6 +16,22 @@ BY = "graph_name"
 FOLLOWED = ("calls", "uses_data", "references", "imports", "inherits", "property", "dispatch")
 
 
+#: Rounds whose frontiers are kept side by side before they are written as one.
+MERGE_AFTER = 4
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _merged(parts: list[DataFrame]) -> list[DataFrame]:
+    """Checkpointed parts, written as one when there are many: no round writes again what it did not find."""
+    return [cut_lineage(_together(parts))] if len(parts) > MERGE_AFTER else parts
+
+
 def _hops(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select(BY, F.col("source").alias("here"), F.col("target").alias("there"))
     if direction == "dependencies":
@@ -30,18 +46,19 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "dependencies",
     ``starts``: (graph_name, start).  Depths are minimal; cycles end by the anti-join.
     """
     hops = cut_lineage(_hops(edges, direction).where("here is not null and there is not null and here <> there").distinct())
-    seen = cut_lineage(starts.select(BY, "start", F.col("start").alias("title"), F.lit(0).alias("depth")).distinct())
-    frontier, depth = seen, 0
+    frontier = cut_lineage(starts.select(BY, "start", F.col("start").alias("title"), F.lit(0).alias("depth")).distinct())
+    seen, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(hops, (frontier[BY] == hops[BY]) & (frontier["title"] == hops["here"])).select(
             frontier[BY], frontier["start"], hops["there"].alias("title")
         )
-        frontier = cut_lineage(step.distinct().join(seen, [BY, "start", "title"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = step.distinct().join(_together(seen), [BY, "start", "title"], "left_anti")
+        frontier = cut_lineage(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
-    return seen
+        seen = _merged([*seen, frontier])
+    return _together(seen)
 
 
 def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -125,19 +142,19 @@ def dependency_order(edges: DataFrame) -> DataFrame:
     """
     contains = cut_lineage(edges.where("type = 'contains' and source is not null and target is not null").select(BY, "source", "target").distinct())
     nodes = contains.select(BY, F.col("source").alias("title")).union(contains.select(BY, F.col("target"))).distinct()
-    left, done, level = cut_lineage(nodes), None, 0
+    left, done, level = cut_lineage(nodes), [], 0
     while True:
         held = contains.select(BY, F.col("target").alias("title")).distinct()
         free = cut_lineage(left.join(held, [BY, "title"], "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
-        done = free if done is None else cut_lineage(done.unionByName(free))
+        done = _merged([*done, free])
         gone = free.select(BY, F.col("title").alias("source"))
         contains = cut_lineage(contains.join(gone, [BY, "source"], "left_anti"))
         left = cut_lineage(left.join(free, [BY, "title"], "left_anti"))
         level += 1
     rest = left.select(BY, "title", F.lit(None).cast("int").alias("level"))
-    return rest if done is None else done.unionByName(rest)
+    return _together([*done, rest])
 
 
 def linearise(bases: dict[str, list[str]], start: str) -> list[str] | None:
