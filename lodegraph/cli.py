@@ -132,11 +132,11 @@ CONFIRMED = {"snapshot-prune", "snapshot-staging-cleanup", "snapshot-maintenance
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodegraph")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("index", "index-python", *ASKS, *PLAIN, *ADMIN, "snapshot-diff", "mcp"):
+    for name in ("index", "index-python", "index-c", *ASKS, *PLAIN, *ADMIN, "snapshot-diff", "mcp"):
         c = sub.add_parser(name)
         c.add_argument("--graph", required=True)
         c.add_argument("--snapshot")
-        if name in ("index", "index-python"):
+        if name in ("index", "index-python", "index-c"):
             c.add_argument("--package", required=True)
             c.add_argument("--keep", type=int, default=5)
             c.add_argument("--reuse", action="store_true")
@@ -168,17 +168,19 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None):
         return ADMIN[name](SnapshotStore(None, args.graph), args)
     spark = spark or session()
     store = SnapshotStore(spark, args.graph)
-    if name in ("index", "index-python"):
-        from lodegraph.plans.index import index_python, input_fingerprint
-        from lodegraph.sources.files import python_sources
-
-        mark = input_fingerprint(python_sources(spark, args.package))
-        options = {"indexer": "python"}
+    if name in ("index", "index-python", "index-c"):
+        from lodegraph.plans.index import index_c, index_python, input_fingerprint
+        from lodegraph.sources.files import c_sources, python_sources
+
+        in_c = name == "index-c" or (name == "index" and c_sources(spark, args.package).limit(1).count() > 0)
+        sources, build = (c_sources, index_c) if in_c else (python_sources, index_python)
+        mark = input_fingerprint(sources(spark, args.package))
+        options = {"indexer": "c" if in_c else "python"}
         if args.reuse and (old := store.reusable(mark, options)):
             return {"snapshot": old, "reused": True}
-        tables = index_python(spark, args.package)
+        tables = build(spark, args.package)
         published = store.publish(tables, args.keep, {"input_fingerprint": mark, "options": options})
-        if input_fingerprint(python_sources(spark, args.package)) != mark:
+        if input_fingerprint(sources(spark, args.package)) != mark:
             raise SnapshotError("the source changed while it was indexed")
         return {"snapshot": published, "reused": False}
     if name == "snapshot-diff":

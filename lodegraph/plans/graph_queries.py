@@ -973,3 +973,16 @@ def small_programs(spark, d):
     run = plain.vectorised(lambda s: plain.run_program(s)["stdout"][0], "string")
     source = F.concat(F.lit("let a = "), F.col("p_size").cast("string"), F.lit("; a * (1 + 2) + "), F.col("p_partkey").cast("string"))
     return load(spark, d, "part").select("p_partkey", run(source).alias("shown"))
+
+
+from lodegraph.plans import index as index_plans  # noqa: E402
+from lodegraph.sources.c_facts import c_facts  # noqa: E402
+
+
+@query()
+def c_index(spark, d):
+    """Edges and weak calls per kind of the graphs indexed from the C files."""
+    files = load(spark, d, "source_files").where(r"content is not null and source_file rlike '\\.[ch]$'").select("graph_name", "source_file", "content").dropDuplicates(["graph_name", "source_file"])
+    t = index_plans.c_graph_from_facts(c_facts(files), files)
+    kinds = t["relationships"].select("graph_name", "type").unionByName(t["call_observations"].select("graph_name", F.col("reason").alias("type")))
+    return kinds.groupBy("graph_name", "type").agg(F.count(F.lit(1)).alias("n"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodegraph.functions.text import fingerprint, n_tokens, short_digest, slug
-from lodegraph.operators.construct import resolve_titles
-from lodegraph.sources.files import python_sources
+from lodegraph.operators.construct import CONFIDENCE, module_keys, resolve_titles, symbol_titles
+from lodegraph.sources.c_facts import c_facts
+from lodegraph.sources.files import c_sources, python_sources
 from lodegraph.sources.python_facts import python_facts
 from lodegraph.sources.snapshot_store import tables_of
 from lodegraph.tables import GraphTables
@@ -91,6 +92,60 @@ def index_python(spark: SparkSession, package: str, graph: str = "graph") -> Gra
     return tables_of({k: v.drop(BY) for k, v in tables.items()}, spark)
 
 
+def c_graph_from_facts(facts: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """Tables of C graphs: titles by module key, calls to the one definition a name means, the rest observed.
+
+    A static function of the same file comes before one of another file; a name with several external
+    definitions is ambiguous.  ``contains`` starts at the id of the file entity.
+    """
+    keys = module_keys(files)
+    found = facts.where("record = 'entity'").join(keys, [BY, "source_file"])
+    titled = symbol_titles(found).withColumnRenamed("kind", "type")
+    symbols = found.select(BY, "source_file", "module_key", F.col("kind").alias("type"), "name", "first", "last", "is_static").join(titled, [BY, "module_key", "type", "name"])
+    file_rows = files.select(BY, "source_file", F.regexp_extract("source_file", r"([^/]+)$", 1).alias("title")).distinct()
+    lines = files.select(BY, "source_file", F.split("content", r"\r?\n").alias("lines")).dropDuplicates([BY, "source_file"])
+    eid = F.concat_ws(":", F.lit("ent"), "type", "title")
+    base = symbols.groupBy(BY, "source_file", "type", "title", "name").agg(F.min("first").alias("first"), F.max("last").alias("last")).join(lines, [BY, "source_file"])
+    snippet = F.array_join(F.slice("lines", F.col("first"), F.greatest(F.col("last") - F.col("first") + 1, F.lit(1))), "\n")
+    unit = F.concat(F.lit("tu:"), F.lower(slug("title")))
+    stamp = [F.lit("c-scan").alias("extractor"), F.lit(1.0).alias("confidence"), F.lit(True).alias("is_deterministic")]
+    code = base.select(BY, eid.alias("id"), "title", "type", F.concat_ws(" ", "type", "title").alias("description"), snippet.alias("snippet"), F.array(unit).alias("text_unit_ids"), "source_file", _span().alias("span"), F.col("name").alias("symbol_name"), *stamp)
+    whole = file_rows.select(BY, F.concat(F.lit("ent:file:"), "source_file").alias("id"), "title", F.lit("file").alias("type"), F.concat(F.lit("file "), "title").alias("description"), F.lit(None).cast("string").alias("snippet"),
+                             F.array().cast("array<string>").alias("text_unit_ids"), "source_file", F.lit("1:0").alias("span"), F.lit(None).cast("string").alias("symbol_name"), *stamp)
+    entities = code.unionByName(whole).dropDuplicates([BY, "id"])
+    functions = symbols.where("type = 'function'").select(BY, "source_file", F.col("name").alias("target"), "title", "is_static").distinct()
+    own = functions.groupBy(BY, "source_file", "target").agg(F.max("title").alias("own"))
+    far = functions.where("not is_static").groupBy(BY, "target").agg(F.countDistinct("title").alias("n"), F.max("title").alias("far"))
+    callers = functions.select(BY, "source_file", F.col("target").alias("name"), F.col("title").alias("source")).distinct()
+    calls = facts.where("record = 'call'").select(BY, "source_file", "name", "target", "first").join(callers, [BY, "source_file", "name"])
+    calls = calls.join(own, [BY, "source_file", "target"], "left").join(far, [BY, "target"], "left").withColumn("hit", F.coalesce("own", F.when(F.col("n") == 1, F.col("far"))))
+    place = F.concat(F.col("first").cast("string"), F.lit(":0")).alias("span")
+
+    def edge(df: DataFrame, kind: str, source, target, confidence: float, span) -> DataFrame:
+        rid = F.concat_ws(":", F.lit("rel"), F.lit(kind), short_digest(F.lit(kind), source, target, F.coalesce(span, F.lit(""))))
+        return df.select(BY, rid.alias("id"), source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), F.concat_ws(" ", source, F.lit(kind), target).alias("description"), F.lit(confidence).alias("weight"),
+                         "source_file", span.alias("span"), F.lit("c-scan").alias("extractor"), F.lit(confidence).alias("confidence"), F.lit(True).alias("is_deterministic"))
+
+    c = F.col
+    holds = edge(code, "contains", F.concat(F.lit("ent:file:"), c("source_file")), c("title"), 1.0, F.lit(""))
+    called = edge(calls.where("hit is not null"), "calls", c("source"), c("hit"), CONFIDENCE["c_call"], F.concat(c("first").cast("string"), F.lit(":0")))
+    by_name = file_rows.select(BY, c("title").alias("base"), c("source_file").alias("there")).groupBy(BY, "base").agg(F.count(F.lit(1)).alias("n"), F.max("there").alias("there"))
+    inc = facts.where("record = 'include'").select(BY, "source_file", F.substring_index("target", "/", -1).alias("base"), "first").join(by_name.where("n = 1"), [BY, "base"])
+    included = edge(inc, "includes", F.regexp_extract("source_file", r"([^/]+)$", 1), c("base"), 1.0, F.concat(c("first").cast("string"), F.lit(":0")))
+    relationships = holds.unionByName(called).unionByName(included).dropDuplicates([BY, "id"])
+    reason = F.when(c("n") > 1, "ambiguous C call").otherwise("external/undefined C call")
+    weak = calls.where("hit is null").select(BY, "source", c("target").alias("display_target"), F.lit(CONFIDENCE["weak"]).alias("confidence"), reason.alias("reason"), "source_file", place, F.lit("c-scan").alias("extractor"), F.concat_ws(" calls ", "source", "target").alias("description"))
+    units = code.select(BY, unit.alias("id"), c("snippet").alias("text"), n_tokens("snippet").cast("bigint").alias("n_tokens"), c("source_file").alias("document_id"), c("id").alias("entity_id"), F.array("id").alias("entity_ids"), "source_file", "span", *stamp).dropDuplicates([BY, "id"])
+    return {"entities": entities, "relationships": relationships, "text_units": units, "call_observations": weak}
+
+
+def index_c(spark: SparkSession, package: str, graph: str = "graph") -> GraphTables:
+    """Graph tables of the C package in a directory."""
+    files = c_sources(spark, package).select(F.lit(graph).alias(BY), "source_file", "content")
+    tables = c_graph_from_facts(c_facts(files), files)
+    return tables_of({k: v.drop(BY) for k, v in tables.items()}, spark)
+
+
 def input_fingerprint(files: DataFrame) -> str:
     """SHA-256 over the ordered (path, content digest) records of a source tree."""
     record = F.concat_ws("\0", "source_file", F.sha2("content", 256))
