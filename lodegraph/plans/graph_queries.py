@@ -976,6 +976,7 @@ def small_programs(spark, d):
 
 
 from lodegraph.plans import index as index_plans  # noqa: E402
+from lodegraph.session import cut_lineage  # noqa: E402
 from lodegraph.sources.c_facts import c_facts  # noqa: E402
 
 
@@ -983,6 +984,6 @@ from lodegraph.sources.c_facts import c_facts  # noqa: E402
 def c_index(spark, d):
     """Edges and weak calls per kind of the graphs indexed from the C files."""
     files = load(spark, d, "source_files").where(r"content is not null and source_file rlike '\\.[ch]$'").select("graph_name", "source_file", "content").dropDuplicates(["graph_name", "source_file"])
-    t = index_plans.c_graph_from_facts(c_facts(files), files)
+    t = index_plans.c_graph_from_facts(cut_lineage(c_facts(files)), files)
     kinds = t["relationships"].select("graph_name", "type").unionByName(t["call_observations"].select("graph_name", F.col("reason").alias("type")))
     return kinds.groupBy("graph_name", "type").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from lodegraph.operators.construct import CONFIDENCE, module_keys, resolve_title
 from lodegraph.sources.c_facts import c_facts
 from lodegraph.sources.files import c_sources, python_sources
 from lodegraph.sources.python_facts import python_facts
+from lodegraph.session import cut_lineage
 from lodegraph.sources.snapshot_store import tables_of
 from lodegraph.tables import GraphTables
 
@@ -86,7 +87,7 @@ def stamp_dynamic(entities: DataFrame, facts: DataFrame) -> DataFrame:
 def index_python(spark: SparkSession, package: str, graph: str = "graph") -> GraphTables:
     """Graph tables of the Python package in a directory."""
     files = python_sources(spark, package).select(F.lit(graph).alias(BY), "source_file", "content")
-    facts = python_facts(files)
+    facts = cut_lineage(python_facts(files))  # read by every table: scanned once
     tables = graph_from_facts(facts, files)
     tables["entities"] = stamp_dynamic(tables["entities"], facts)
     return tables_of({k: v.drop(BY) for k, v in tables.items()}, spark)
@@ -142,7 +143,7 @@ def c_graph_from_facts(facts: DataFrame, files: DataFrame) -> dict[str, DataFram
 def index_c(spark: SparkSession, package: str, graph: str = "graph") -> GraphTables:
     """Graph tables of the C package in a directory."""
     files = c_sources(spark, package).select(F.lit(graph).alias(BY), "source_file", "content")
-    tables = c_graph_from_facts(c_facts(files), files)
+    tables = c_graph_from_facts(cut_lineage(c_facts(files)), files)
     return tables_of({k: v.drop(BY) for k, v in tables.items()}, spark)
 
 
