@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from re import _constants as sre, _parser as sre_parser
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,75 @@ _EXACT, _STARTS = _build()
 _START_LENGTHS = sorted({len(s) for s in _STARTS})
 _PHRASES = {k: re.compile(r"\b(?:" + "|".join(f"(?:{p})" for p in v) + ")") for k, v in PHRASES.items()}
 _CJK = {k: v.split() for k, v in CJK.items()}
+#: Words that are in so many sentences that a phrase is recognised by another of its words, where it has one.
+_COMMON = set("a an the i we you your it is are be been to in of on at for so do not my me him her his he she they them no one all have has will would can how this that with from get make see like use when and or let by".split())
+
+
+def _literals(parsed, bounded: bool) -> list[str] | None:
+    """Patterns of single words (or parts) of which every match of a parsed phrase holds at least one.
+
+    None if there is no such list; of several lists the one of rarer words.  ``bounded``: a word begins here.
+    """
+    lists: list[list[str]] = []
+    run, starts = "", bounded
+
+    def end(at_border: bool):
+        nonlocal run
+        if run:
+            lists.append([(r"\b" if starts else "") + re.escape(run) + (r"\b" if at_border else "")])
+        run = ""
+
+    for op, value in parsed:
+        if op is sre.LITERAL and chr(value) != " ":
+            run += chr(value)
+            continue
+        border = op is sre.LITERAL or op is sre.AT and value in (sre.AT_END, sre.AT_BOUNDARY)
+        begins = not run and starts
+        end(border)
+        whole_words = op is sre.MAX_REPEAT and value[2][-1] == (sre.LITERAL, ord(" "))
+        starts = border or begins and whole_words
+        if op is sre.SUBPATTERN:
+            lists.append(_literals(value[-1], begins))
+        elif op is sre.MAX_REPEAT and value[0] > 0:
+            lists.append(_literals(value[2], begins))
+        elif op is sre.BRANCH:
+            each = [_literals(b, begins) for b in value[1]]
+            lists.append(None if None in each else [x for e in each for x in e])
+    end(False)
+    bare = lambda x: x.replace(r"\b", "").replace("\\", "")
+    return min(filter(None, lists), key=lambda e: sum(100 * (bare(x) in _COMMON or len(bare(x)) < 3) + 1 / len(bare(x)) for x in e), default=None)
+
+
+def _anchor(phrase: str) -> re.Pattern:
+    """What one word of every sentence with the phrase holds; any word, if that cannot be told."""
+    return re.compile("|".join(_literals(sre_parser.parse(phrase), True) or [""]))
+
+
+#: (number of the kind, phrase, its anchor)
+_EACH_PHRASE = [(k, re.compile(rf"\b(?:{p})"), _anchor(p)) for k, v in enumerate(PHRASES.values()) for p in v]
+_SINGLE = list(dict.fromkeys(x for _, _, a in _EACH_PHRASE for x in a.pattern.split("|")))
+_ANY_ANCHOR = re.compile("|".join([r"\b(?:" + "|".join(x[2:] for x in _SINGLE if x[:2] == r"\b") + ")", *(x for x in _SINGLE if x[:2] != r"\b")]))
+_ANCHOR_BIT = 1 << len(CATEGORIES)
+
+
+@lru_cache(200_000)
+def _phrases_with(word: str) -> tuple[tuple[int, re.Pattern], ...]:
+    """(number of the kind, phrase) of the phrases that the word may be part of by their anchors."""
+    return tuple((k, p) for k, p, a in _EACH_PHRASE if a.search(word)) if _ANY_ANCHOR.search(word) else ()
+
+
+def phrase_counts(words: list[str], found: list[int]) -> list[int]:
+    """How often each kind of phrase occurs in a sentence; exact, the anchors only choose what is looked for."""
+    counts, joined = [0] * len(_PHRASES), " ".join(words)
+    kinds = list(_PHRASES.values())
+    for word, bits in zip(words, found, strict=True):
+        if bits & _ANCHOR_BIT:
+            for k, phrase in _phrases_with(word):
+                if not counts[k] and phrase.search(joined):
+                    counts[k] = len(kinds[k].findall(joined))
+    return counts
+
+
 _SEVERE = {c: 1 << CATEGORIES.index(c) for c in CATEGORIES}
 _ABUSIVE = sum(_SEVERE[c] for c in ("vulgar", "insult", "body", "sexact", "threat", "selfharm", "dehuman"))
 _HARD = [w.rstrip("*") for c in ("vulgar", "insult", "body") for w in WORDS[c].split() if len(w.rstrip("*")) >= 3]
@@ -183,7 +254,7 @@ def _plain(word: str) -> list[str] | None:
     return None
 
 
-#: word -> (categories, plain words if it is a disguise); only a cache, results do not depend on it
+#: word -> (categories and _ANCHOR_BIT, plain words if it is a disguise); only a cache, results do not depend on it
 _memo: dict[str, tuple[int, list[str] | None]] = {}
 
 
@@ -191,7 +262,7 @@ def _look(word: str) -> tuple[int, list[str] | None]:
     got = _memo.get(word)
     if got is None:
         bits = bits_of(word)
-        got = (bits, None if bits else _plain(word))
+        got = (bits | _ANCHOR_BIT if _ANY_ANCHOR.search(word) else bits, None if bits else _plain(word))
         if len(_memo) > 200_000:
             _memo.clear()
         _memo[word] = got
@@ -199,7 +270,7 @@ def _look(word: str) -> tuple[int, list[str] | None]:
 
 
 def plain_words(words: list[str]) -> tuple[list[str], list[int], int]:
-    """Words of a sentence in plain spelling, their categories, and how many disguises were undone."""
+    """Words of a sentence in plain spelling, their bits (categories, ``_ANCHOR_BIT``), and how many disguises were undone."""
     looked = [_look(w) for w in words]
     disguised = 0
     if any(p for _, p in looked):
@@ -245,7 +316,6 @@ FEATURES = (
     + [f"density_{c}" for c in _STRONG] + ["near_second", "phrase_total", "phrase_second", "worst", "disguised", "shouted", "exclaimed", "marks", "sentences", "cjk_abuse"]
 )
 N_FEATURES = len(FEATURES)
-_TELLING = [CATEGORIES.index(c) for c in _STRONG]
 _N_CAT, _SECOND = len(CATEGORIES), CATEGORIES.index("second")
 _COMBO_INDEX = [(CATEGORIES.index(a), CATEGORIES.index(b)) for a, b in _COMBOS]
 
@@ -271,10 +341,13 @@ def features(text: str | None) -> np.ndarray:
         disguised += undone
         if not has_cjk and not any(found):
             continue
-        counts = [0] * n_cat
+        counts, anchored = [0] * n_cat, False
         bad_at, you_at = [], []
         for i, bits in enumerate(found):
             if bits:
+                if bits & _ANCHOR_BIT:
+                    anchored = True
+                    bits ^= _ANCHOR_BIT
                 if bits & _ABUSIVE:
                     bad_at.append(i)
                 if bits >> _SECOND & 1:
@@ -290,13 +363,9 @@ def features(text: str | None) -> np.ndarray:
                 cjk += hits * (k != "second")
             if counts[_SECOND] and (counts[0] or counts[1]):
                 nearest = 1.0
-        if not any(counts):
+        phrases = phrase_counts(words, found) if anchored else [0] * n_ph
+        if not any(counts) and not any(phrases):
             continue
-        if you_at or any(map(counts.__getitem__, _TELLING)):
-            joined = " ".join(words)
-            phrases = [len(p.findall(joined)) for p in _PHRASES.values()]
-        else:  # every phrase holds a word of a telling category or names somebody
-            phrases = [0] * n_ph
         if bad_at and you_at:
             nearest = max(nearest, 1.0 / (1 + min(abs(a - b) for a in bad_at for b in you_at)))
         n_phrases = sum(map(bool, phrases))

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lodegraph.llm import abuse as ab
 from lodegraph.llm.boosting import BoostedTrees, Isotonic
@@ -33,6 +35,29 @@ def test_features_see_one_sentence_in_a_long_text():
     assert len(alone) == ab.N_FEATURES and np.isfinite(hidden).all()
 
 
+PHRASE_TOTAL = ab.FEATURES.index("phrase_total")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "They should be hanged.", "Nobody will miss him.", "Better off without him.", "What a waste of air.", "Nobody respects her.", "She was moaning.",
+        "He pressed against them.", "Never let them.", "Go to hell.", "Rot in hell.", "Drink bleach.", "It figures.", "Hired him? Should be put down.",
+    ],
+)
+def test_phrases_without_a_second_person_or_strong_word_are_found(text):
+    assert ab.features(text)[PHRASE_TOTAL] > 0
+
+
+@settings(max_examples=600, deadline=None, derandomize=True)
+@given(st.sampled_from([(k, p) for k, v in ab.PHRASES.items() for p in v]).flatmap(lambda kp: st.tuples(st.just(kp[0]), st.from_regex(kp[1], fullmatch=True))))
+def test_every_phrase_opens_its_gate(sample):
+    _, text = sample
+    for sentence in ab._SENTENCE.split(ab.normalised(text)[0]):
+        words, found, _ = ab.plain_words(ab._WORD.findall(sentence))
+        assert ab.phrase_counts(words, found) == [len(p.findall(" ".join(words))) for p in ab._PHRASES.values()]
+
+
 def labelled(spark):
     bad = ["You are a moron.", "Kill yourself, loser.", "Women cannot think and should be kept out.", "Suck my dick tonight.", "I know where you live, watch your back."]
     good = ["Kill the child process.", "This crappy build is slow.", "The code of conduct bans insults.", "Please review the patch.", "The master sends the slave a page."]
