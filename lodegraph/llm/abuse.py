@@ -53,7 +53,8 @@ _DIGIT_LETTERS = str.maketrans("013457@$!|8", "oieastasilb")
 _SENTENCE = re.compile(r"[.!?;:]+(?=\s|$)|[。！？；\n]|\*/|/\*|\"\"\"")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _MASKED = re.compile(r"(?<![\w*+/=])([^\W\d_]+)([*#%@]{1,6})([^\W\d_]+)(?![\w*+/=])")
-_SIGN_HINT = re.compile(r"[@$!|][^\W_]")
+#: In every text in which ``_SIGNED`` matches.
+_SIGN_HINT = re.compile(r"[@$!|][\w@$!|]|\w[@$!|]")
 _SIGNED = re.compile(r"(?<![\w+/=@$!|])(?=[^\W_]*[@$!|])[^\W_]?[\w@$!|]{2,15}(?![\w+/=])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _MASK_HINT = re.compile(r"[*#%@][^\W\d_]")
@@ -212,9 +213,14 @@ def normalised(text: str) -> tuple[str, int]:
 
         def signs(m):
             nonlocal disguised
-            plain = _from_signs(m[0])
-            disguised += plain is not None
-            return plain or m[0]
+            word = m[0].rstrip("!|")  # behind a word they may be only marks
+            plain, marks = _from_signs(word), m[0][len(word) :]
+            if plain is None:
+                plain, marks = _from_signs(m[0]), ""
+            if plain is None or plain == word:
+                return m[0]
+            disguised += 1
+            return plain + marks
 
         text = _SIGNED.sub(signs, text)
     return text, disguised

@@ -22,6 +22,21 @@ def test_disguises_are_undone(disguised, plain):
     assert plain in got and (n >= 1 or not disguised.isascii())
 
 
+@pytest.mark.parametrize(
+    ("disguised", "plain"),
+    [("you dumb a$$", "ass"), ("kick your a$$!", "ass!"), ("you dumba$$", "dumbass"), ("such idiot$", "idiots"), ("ki||", "kill"), ("what an @$$", "ass")],
+)
+def test_words_that_end_in_signs(disguised, plain):
+    for text in (disguised, f"{disguised} x@y.org", f"@name {disguised}"):
+        got, n = ab.normalised(text)
+        assert plain in got and n == 1
+
+
+def test_marks_behind_a_plain_word_are_no_disguise():
+    for text in ("what an idiot!", "idiot!! go", "|idiot|fool|", "bitch|"):
+        assert ab.normalised(text) == (text, 0)
+
+
 def test_ordinary_text_is_left_alone():
     for text in ("x ** y and *args, **kwargs", "a b c d e", "sha1 deadb33f 0x1f", "Привет, как дела", "see a-b-c for it", "aaa bbb"):
         assert ab.normalised(text) == (text.lower(), 0) and ab.undisguised(text)[1] == 0
