@@ -26,33 +26,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Patterns beyond this number are thinned by leaving out triples whose smallest size is rare.
+#: Triples are fitted in rounds of about this number, each to what the rounds before it left; none is left out.
 MAX_PATTERNS = 1_500_000
 ITERATIONS = 300
 ITEMS_PER_BUCKET = 50_000
 BROADCAST_ROWS = 400_000
 
 
-def patterns(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of up to three of ``sizes``, descending, 0 for none, that add up to the capacity."""
+def _triples(have: np.ndarray, capacity: int, c: int) -> np.ndarray:
+    """The middle sizes of the triples with the smallest size c."""
+    b = np.arange(c, (capacity - c) // 2 + 1)
+    return b[have[b] & have[capacity - c - b]]
+
+
+def _smallest(have: np.ndarray, capacity: int) -> np.ndarray:
+    c = np.flatnonzero(have[: capacity // 3 + 1])
+    return c[c > 0]
+
+
+def _have(sizes: np.ndarray, capacity: int) -> np.ndarray:
     have = np.zeros(capacity + 1, bool)
     have[sizes] = True
+    return have
+
+
+def patterns(sizes: np.ndarray, capacity: int, smallest: np.ndarray | None = None) -> np.ndarray:
+    """Rows of up to three of ``sizes``, descending, 0 for none, that add up to the capacity.
+
+    ``smallest`` limits the triples to those with such a smallest size.
+    """
+    have = _have(sizes, capacity)
     out = [np.array([[capacity, 0, 0]])] if have[capacity] else []
     a = np.flatnonzero(have[: capacity // 2 + 1])
     a = a[a > 0]
     pair = a[have[capacity - a]]
     out.append(np.stack([capacity - pair, pair, np.zeros_like(pair)], 1))
-    total = 0
-    for c in np.flatnonzero(have[: capacity // 3 + 1]):
-        if c == 0:
-            continue
-        b = np.arange(c, (capacity - c) // 2 + 1)
-        b = b[have[b] & have[capacity - c - b]]
-        total += len(b)
-        if total > MAX_PATTERNS:
-            break
+    every = _smallest(have, capacity)
+    for c in every if smallest is None else np.intersect1d(every, smallest):
+        b = _triples(have, capacity, c)
         out.append(np.stack([capacity - c - b, b, np.full_like(b, c)], 1))
-    return np.concatenate(out) if out else np.zeros((0, 3), int)
+    return np.concatenate(out)
+
+
+def rounds(sizes: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """The smallest sizes of the triples of each round; together all, and each round has small and large ones."""
+    have = _have(sizes, capacity)
+    smallest = _smallest(have, capacity)
+    n = max(1, -(-sum(len(_triples(have, capacity, c)) for c in smallest) // MAX_PATTERNS))
+    return [smallest[k::n] for k in range(n)]
 
 
 def fit(pats: np.ndarray, histogram: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
@@ -161,9 +182,11 @@ class PackPlan:
 
 def make_plan(histogram: np.ndarray, capacity: int) -> PackPlan:
     """``histogram[s]`` items of size s, 1 <= s <= capacity."""
-    sizes = np.flatnonzero(histogram)
-    pats = patterns(sizes[sizes > 0], capacity)
-    fitted, left = rounded(pats, fit(pats, histogram.astype(float)), histogram)
+    fitted, left = [], histogram
+    for smallest in rounds(np.flatnonzero(histogram), capacity):
+        pats = patterns(np.flatnonzero(left), capacity, smallest)
+        more, left = rounded(pats, fit(pats, left.astype(float)), left)
+        fitted += more
     used = np.zeros(len(histogram), np.int64)
     rows, packs = [], 0
     n_fitted = sum(n for _, n in fitted)

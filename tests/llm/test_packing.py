@@ -78,3 +78,23 @@ def test_report(spark):
     counts = spark.createDataFrame([(1, 10), (2, 6), (3, 0)], "doc_id bigint, n_tokens bigint")
     r = pk.fill_report(pk.pack_documents(counts, 10, "p")).first()
     assert (r["n_packs"], r["n_documents"], r["n_tokens"], r["fill"]) == (2, 3, 16, 0.8)
+
+
+def test_no_triple_is_left_out_of_the_rounds(monkeypatch):
+    monkeypatch.setattr(pk, "MAX_PATTERNS", 50)
+    histogram = np.zeros(101, np.int64)
+    histogram[[*range(1, 29), *range(60, 80)]] = 1
+    histogram[[33, 34]] = 2000, 1000
+    plan = pk.make_plan(histogram, 100)
+    assert plan.n_fitted >= 1000
+    assert plan.n_packs <= 1.01 * np.ceil((np.arange(101) * histogram).sum() / 100) + 1
+
+
+def test_rounds_hold_every_triple_once(monkeypatch):
+    sizes = np.arange(1, 60)
+    whole = pk.patterns(sizes, 60)
+    monkeypatch.setattr(pk, "MAX_PATTERNS", 20)
+    parts = [pk.patterns(sizes, 60, r) for r in pk.rounds(sizes, 60)]
+    triples = sorted(tuple(p) for part in parts for p in part[part[:, 2] > 0].tolist())
+    assert len(parts) > 5 and triples == [(60 - b - c, b, c) for b, c in sorted(((b, c) for c in range(1, 21) for b in range(c, (60 - c) // 2 + 1)), key=lambda x: (60 - x[0] - x[1], *x))]
+    assert triples == sorted(tuple(p) for p in whole[whole[:, 2] > 0].tolist())
