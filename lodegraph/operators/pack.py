@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.operators.windows import capped, priority_window
+from lodegraph.operators.windows import capped
 from lodegraph.tables import GraphTables
 
 BY = "graph_name"
@@ -38,16 +38,15 @@ def context_sections(g: GraphTables, title: str, max_text_chars: int = 300) -> D
     ).distinct()
     units = g.text_units.select(BY, "id", "text").join(unit_ids, [BY, "id"], "left_semi").where("text is not null")
     observed = g.call_observations.where((F.col("source") == title) | F.col("source").startswith(title + "."))
-    window = priority_window(
-        observed.select(BY, "source", "display_target", "reason", "span").distinct(), [BY], F.col("reason").contains("registry"), ["source", "display_target", "span", "reason"], LIMITS["observations"]
-    )
+    weak = observed.select(BY, "source", "display_target", "reason", "span").distinct()
+    weak = weak.withColumn("behind", ~F.coalesce(F.col("reason").contains("registry"), F.lit(False)))
     sections = [
         _section("neighbors", near, ["other", "type", "id"], edge_text, LIMITS["neighbors"]),
         _section("texts", units, ["id"], F.substring("text", 1, max_text_chars), LIMITS["texts"]),
         _section("data", near.where("type = 'uses_data'"), ["other", "id"], edge_text, LIMITS["neighbors"]),
         _section("types_out", out.where("type = 'uses_type'"), ["target", "id"], edge_text, LIMITS["type_edges"]),
         _section("types_in", into.where("type = 'uses_type'"), ["source", "id"], edge_text, LIMITS["type_edges"]),
-        _section("observations", window, ["rank"], F.concat_ws(" ", "source", "display_target", "reason"), LIMITS["observations"]),
+        _section("observations", weak, ["behind", "source", "display_target", "span", "reason"], F.concat_ws(" ", "source", "display_target", "reason"), LIMITS["observations"]),
     ]
     found = sections[0]
     for s in sections[1:]:

@@ -3,7 +3,8 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.operators import audit, construct, contracts, diff, intervals, lookup, measures, traverse, windows
+from lodegraph.operators import audit, construct, contracts, diff, intervals, lookup, measures, pack, traverse, windows
+from lodegraph.tables import GraphTables
 
 EDGE = "graph_name string, id string, source string, target string, type string"
 
@@ -280,3 +281,19 @@ def test_states_counts_and_coherence(spark):
     assert contracts.manifest_anomalies(c, rows, {"dependency": {"enabled": True, "count": 2, "compile_commands_digest": "0" * 64}}) == [("manifest_count_mismatch", "2 stated, 1 decorated")]
     m = {"dependency": {"enabled": True, "compile_commands_digest": "a"}, "include": {"enabled": True, "compile_commands_digest": "b"}}
     assert contracts.coherence_anomalies(m) == [("digest_mismatch", "dependency / include")]
+
+
+# --- packs
+
+
+def test_observations_of_a_pack_are_counted_before_they_are_cut(spark):
+    calls = [("g", "m:f", f"t{i:02}", "registry_candidate:x" if i > 17 else None if i == 3 else "dynamic", f"1:{i}") for i in range(20)]
+    g = GraphTables(
+        spark.createDataFrame([("g", "e1", "m:f", "fn", [])], "graph_name string, id string, title string, type string, text_unit_ids array<string>"),
+        edges(spark, []),
+        spark.createDataFrame([], "graph_name string, id string, text string"),
+        spark.createDataFrame(calls + calls[:5] + [("h", *c[1:]) for c in calls[:15]], "graph_name string, source string, display_target string, reason string, span string"),
+    )
+    got = pack.context_sections(g, "m:f").where("section = 'observations'").orderBy("graph_name", "rank").collect()
+    assert [(r["rank"], r["total"], r["truncated"]) for r in got] == [(i, 20, True) for i in range(1, 16)] + [(i, 15, False) for i in range(1, 16)]
+    assert [r["item"].split()[1] for r in got[:4]] == ["t18", "t19", "t00", "t01"]
