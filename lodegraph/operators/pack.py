@@ -13,16 +13,17 @@ BY = "graph_name"
 LIMITS = {"neighbors": 30, "texts": 10, "members": 50, "module_edges": 100, "observations": 15, "type_edges": 20}
 
 
-def _section(name: str, df: DataFrame, order: list[str], item: Column, limit: int) -> DataFrame:
-    rows = df.select(BY, *order, item.alias("item")).distinct()
-    return capped(rows, [BY], order, limit).select(BY, F.lit(name).alias("section"), "rank", "item", "total", "truncated")
+def _section(name: str, df: DataFrame, order: list[str], item: Column, limit: int, cut: Column | None = None) -> DataFrame:
+    cut = F.lit(None).cast("boolean") if cut is None else cut
+    rows = df.select(BY, *order, item.alias("item"), cut.alias("cut")).distinct()
+    return capped(rows, [BY], order, limit).select(BY, F.lit(name).alias("section"), "rank", "item", "total", "truncated", "cut")
 
 
 def context_sections(g: GraphTables, title: str, max_text_chars: int = 300) -> DataFrame:
-    """(graph_name, section, rank, item, total, truncated) for one title in all graphs.
+    """(graph_name, section, rank, item, total, truncated, cut) for one title in all graphs.
 
     Sections: neighbors (title or id on either side), texts, data, types_out, types_in, observations.
-    Caps cut the lists, never the totals.
+    Caps cut the lists, never the totals; ``truncated`` speaks of the list, ``cut`` of a single text (null in other sections).
     """
     entity = g.entities.where(F.col("title") == title).select(BY, "id", "title", "text_unit_ids").distinct()
     named = entity.select(BY, F.explode(F.array("id", "title")).alias("name")).distinct()
@@ -42,7 +43,7 @@ def context_sections(g: GraphTables, title: str, max_text_chars: int = 300) -> D
     weak = weak.withColumn("behind", ~F.coalesce(F.col("reason").contains("registry"), F.lit(False)))
     sections = [
         _section("neighbors", near, ["other", "type", "id"], edge_text, LIMITS["neighbors"]),
-        _section("texts", units, ["id"], F.substring("text", 1, max_text_chars), LIMITS["texts"]),
+        _section("texts", units, ["id"], F.substring("text", 1, max_text_chars), LIMITS["texts"], F.length("text") > max_text_chars),
         _section("data", near.where("type = 'uses_data'"), ["other", "id"], edge_text, LIMITS["neighbors"]),
         _section("types_out", out.where("type = 'uses_type'"), ["target", "id"], edge_text, LIMITS["type_edges"]),
         _section("types_in", into.where("type = 'uses_type'"), ["source", "id"], edge_text, LIMITS["type_edges"]),
@@ -55,11 +56,11 @@ def context_sections(g: GraphTables, title: str, max_text_chars: int = 300) -> D
 
 
 def context_pack(g: GraphTables, title: str, max_text_chars: int = 300) -> DataFrame:
-    """(graph_name, pack_json): the sections of a title as one JSON record per graph."""
+    """(graph_name, pack_json): the sections of a title as one JSON record per graph; ``cut`` beside the items of texts."""
     s = context_sections(g, title, max_text_chars)
-    item = F.struct("rank", "item")
+    item = F.struct("rank", "item", "cut")
     per = s.groupBy(BY, "section").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("total").alias("total"), F.max("truncated").alias("truncated"))
-    body = F.struct("section", F.transform("items", lambda x: x["item"]).alias("items"), "total", "truncated")
+    body = F.struct("section", F.transform("items", lambda x: x["item"]).alias("items"), "total", "truncated", F.when(F.col("section") == "texts", F.transform("items", lambda x: x["cut"])).alias("cut"))
     packed = per.groupBy(BY).agg(F.array_sort(F.collect_list(body)).alias("sections"))
     return packed.select(BY, F.to_json(F.struct(F.lit(title).alias("title"), "sections")).alias("pack_json"))
 

@@ -1,3 +1,4 @@
+import json
 from random import Random
 
 import pytest
@@ -297,3 +298,15 @@ def test_observations_of_a_pack_are_counted_before_they_are_cut(spark):
     got = pack.context_sections(g, "m:f").where("section = 'observations'").orderBy("graph_name", "rank").collect()
     assert [(r["rank"], r["total"], r["truncated"]) for r in got] == [(i, 20, True) for i in range(1, 16)] + [(i, 15, False) for i in range(1, 16)]
     assert [r["item"].split()[1] for r in got[:4]] == ["t18", "t19", "t00", "t01"]
+
+
+def test_a_pack_says_which_texts_are_cut(spark):
+    g = GraphTables(
+        spark.createDataFrame([("g", "e1", "m:f", "fn", ["a", "b", "c"])], "graph_name string, id string, title string, type string, text_unit_ids array<string>"),
+        edges(spark, [("m:f", "m:g")]),
+        spark.createDataFrame([("g", "a", "x" * 10), ("g", "b", "x" * 11), ("g", "c", "")], "graph_name string, id string, text string"),
+        spark.createDataFrame([], "graph_name string, source string, display_target string, reason string, span string"),
+    )
+    sections = {x["section"]: x for x in json.loads(pack.context_pack(g, "m:f", 10).first()["pack_json"])["sections"]}
+    assert sections["texts"]["items"] == ["x" * 10, "x" * 10, ""] and sections["texts"]["cut"] == [False, True, False]
+    assert "cut" not in sections["neighbors"] and sections["texts"]["truncated"] is False
