@@ -1,5 +1,5 @@
 import numpy as np
-import pyarrow as pa
+import pytest
 
 from lodegraph.pipeline import references as rf
 
@@ -37,18 +37,32 @@ def test_hot_missing_key_and_long_text(spark, rows):
 
 def test_probe_walks_runs_of_one_hash():
     """Different keys that share the first half of the digest are told apart by the second."""
-    parents = pa.table({"h1": pa.array([5, 5, 7], pa.int64()), "h2": pa.array([1, 2, 3], pa.int64()), "mask": pa.array([1, 2, 3], pa.int32())})
-    refs = pa.table({"h1": pa.array([5, 5, 5, 7, 9], pa.int64()), "h2": pa.array([2, 1, 4, 3, 3], pa.int64()), "mask": pa.array([3, 2, 3, 1, 1], pa.int32())})
-    got = rf._probe(parents, refs)
-    assert sorted(zip(got["h1"].to_pylist(), got["h2"].to_pylist(), strict=True)) == [(5, 1), (5, 4), (9, 3)]
-
-
-def test_ranges_cover_the_key_space(spark):
-    import pyspark.sql.functions as F
-
-    ends = spark.createDataFrame([(-(2**63),), (-1,), (0,), (2**63 - 1,)], "h bigint")
-    got = [r[0] for r in ends.select(rf.range_of(F.col("h"), 7)).collect()]
-    assert got[0] == 0 and got[-1] == 6 and got == sorted(got) and np.all(np.array(got) < 7)
+    ids, titles = (np.array([5, 5, 7]), np.array([1, 2, 3])), (np.array([5, 9]), np.array([9, 1]))
+    refs = np.array([5, 5, 5, 5, 7, 9]), np.array([2, 1, 4, 9, 3, 3])
+    assert rf.unanswered(refs, ids, titles).tolist() == [2, 5] and rf.unanswered(refs, ids).tolist() == [2, 3, 5]
+    assert rf.unanswered(refs).tolist() == [0, 1, 2, 3, 4, 5] and rf.unanswered((np.zeros(0, np.int64),) * 2, ids).tolist() == []
+
+
+def test_ranges_cover_the_key_space():
+    got = rf.ranges_of(np.array([-(2**63), -1, 0, 2**63 - 1]), 7).tolist()
+    assert got[0] == 0 and got[-1] == 6 and got == sorted(got)
+
+
+@pytest.mark.parametrize("per_sort, per_range", [(3, 2), (1000, 7), (2_000_000, 400_000)])
+def test_against_plain_sets(spark, rows, monkeypatch, per_sort, per_range):
+    """Whatever the sizes of sorts, ranges and the filter, the misses are those of sets of strings."""
+    monkeypatch.setattr(rf, "KEYS_PER_SORT", per_sort)
+    monkeypatch.setattr(rf, "KEYS_PER_RANGE", per_range)
+    monkeypatch.setattr(rf, "MIN_FILTER_BITS", 4096)
+    rng = np.random.default_rng(3)
+    name = lambda n: None if n % 11 == 0 else f"n{n}"
+    e = [(f"g{i % 3}", "a", name(int(x)), name(int(y))) for i, (x, y) in enumerate(rng.integers(0, 150, (60, 2)))]
+    r = [(f"g{i % 3}", "a", f"r{i}", name(int(x)), name(int(y))) for i, (x, y) in enumerate(rng.integers(0, 150, (90, 2)))]
+    u = [(f"g{i % 3}", "a", f"u{i}", name(int(x))) for i, x in enumerate(rng.integers(0, 150, 40))]
+    ids, titles = {(g, i) for g, _, i, _ in e}, {(g, t) for g, _, _, t in e}
+    want = [("relationships", g, "a", i, f) for g, _, i, s, t in r for f, v in (("source", s), ("target", t)) if v and (g, v) not in ids | titles]
+    want += [("text_units", g, "a", i, "entity_id") for g, _, i, v in u if v and (g, v) not in ids]
+    assert rows(orphans(spark, e, r, u)) == sorted(want, key=repr)
 
 
 def test_report(spark, rows):
