@@ -3,14 +3,17 @@
 1. ``cut``: a gear hash rolls over the UTF-8 bytes; where its leading bits vanish, the text is cut, so
    equal passages are cut alike in whatever document they stand.  A cut moves on to the next place
    between a non-blank and a blank before a letter, if one is near: no token can span such a place.
-2. Equal chunks of all documents are encoded once (grouped by 128-bit digest and text).
-3. The token lists return to their documents.  A join that was not cut at such a safe place is
-   repaired: the untrusted end of the left chunk and the start of the right one are split again, and
-   this goes on until a piece boundary of the new split coincides with one of the right chunk's own.
+2. Equal chunks meet: a map task sends each of its distinct chunks once, with the packed places where it
+   stands, to the partition of the chunk's hash, where each distinct text is encoded once.
+3. The token lists return to their documents, sorted by place.  A join that was not cut at such a safe
+   place is repaired: the untrusted end of the left chunk and the start of the right one are split again,
+   and this goes on until a piece boundary of the new split coincides with one of the right chunk's own.
    Splitting looks only forward, so from a common boundary on both agree to the token.
 
-Shuffled are the distinct chunk texts (combined map-side), the places of the chunks, then two bytes per
-token.  Chunks that a third of the documents share are broadcast instead.  No step looks at more than one document or one chunk at a time.
+The documents are read once.  Shuffled are the distinct chunk texts with about 21 bytes a place, then two
+bytes per token.  Hashes only choose partitions; tokens are looked up by the text itself, so no collision
+can exchange them.  A chunk that is frequent within a map task is encoded once per ``TASKS_PER_SALT`` map
+tasks instead of once in all, so that one partition never receives the places of a third of the corpus.
 
 Defined results
 ---------------
@@ -25,15 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.vocab import BYTE_BPE_50K, encoding, splitter
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK, SAFE_WITHIN = 96, 9, 4096, 96
-#: A chunk with more occurrences is broadcast: at most one in so many occurrences is such a chunk, which
-#: bounds the broadcast to a few hundred bytes per million chunks of the corpus.
-HOT_OCCURRENCES = 1_000_000
+#: Bytes of text among which a map task finds equal chunks, and documents of a batch that are cut together.
+WINDOW_BYTES, CUT_DOCUMENTS = 32_000_000, 2000
+#: A chunk with more places in one window is spread over several partitions, one for so many map tasks.
+HOT_PLACES, TASKS_PER_SALT = 16, 64
+#: Characters of distinct chunks that an encoding task remembers; beyond, a chunk may be encoded again.
+MEMORY_CHARS = 64_000_000
+OUT_ROWS = 8192
 WINDOW_DOUBLINGS = 5  # 32 bytes
 
 _GEAR = np.random.default_rng(0x5EED).integers(0, 2**32, 256, dtype=np.uint32)
@@ -99,52 +107,111 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[first : int(bounds[-1])] if len(bounds) else raw, bounds[:-1] - first, bounds[1:] - first
 
 
-CHUNK_SCHEMA = "doc_id bigint, text_hash bigint, seq int, safe boolean, kept boolean, chunk string"
+#: Where a chunk stands: document, hash of the whole text, number of the chunk; flags below.
+PLACE = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("seq", "<i4"), ("flags", "<u1")])
+#: The join to the chunk before is safe; the text is needed to repair a join; the document has no id.
+SAFE, KEPT, NO_ID = 1, 2, 4
+
+CHUNK_SCHEMA = "salt int, chunk string, places binary"
+
+
+def _cut_batch(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """All chunks of some documents (doc_id, text_hash, text) and their places; an empty text is one empty chunk."""
+    data, starts, ends = _buffers(batch.column(2).fill_null(""))
+    cuts, safes = cut(data, starts, ends)
+    counts = np.array([len(c) + 1 for c in cuts])
+    rows = np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    begin = np.repeat(starts, counts)
+    safe = np.ones(len(rows), bool)  # the join to the chunk before
+    inside = np.ones(len(rows), bool)
+    inside[first] = False
+    begin[inside] += np.concatenate(cuts)
+    safe[inside] = np.concatenate(safes)
+    after = np.append(safe[1:], True)
+    after[first + counts - 1] = True
+    places = np.zeros(len(rows), PLACE)
+    doc = batch.column(0)
+    places["doc_id"] = doc.fill_null(0).to_numpy()[rows]
+    places["text_hash"] = batch.column(1).to_numpy()[rows]
+    places["seq"] = np.arange(len(rows)) - np.repeat(first, counts)
+    no_id = doc.is_null().to_numpy(zero_copy_only=False)[rows]
+    places["flags"] = SAFE * safe + KEPT * ~(safe & after) + NO_ID * no_id
+    offsets = np.append(begin, len(data)).astype(np.int64)
+    chunk = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
+    return chunk, places
+
+
+def _gathered(chunks: list[pa.Array], places: list[np.ndarray], salt: int) -> Iterator[pa.RecordBatch]:
+    """Each distinct chunk of a window with all its places."""
+    coded = pa.concat_arrays(chunks).dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    bounds = np.cumsum(np.append(0, np.bincount(code, minlength=len(coded.dictionary))))
+    packed = np.concatenate(places)[order].tobytes()
+    size = PLACE.itemsize
+    for at in range(0, len(coded.dictionary), OUT_ROWS):
+        b = bounds[at : at + OUT_ROWS + 1]
+        salts = np.where(np.diff(b) > HOT_PLACES, salt, 0).astype(np.int32)
+        where = pa.array([packed[i * size : j * size] for i, j in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)], pa.binary())
+        text = coded.dictionary.slice(at, OUT_ROWS).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(salts), text, where], names=["salt", "chunk", "places"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context = TaskContext.get()
+    salt = 1 + (context.partitionId() if context else 0) // TASKS_PER_SALT
+    chunks, places, held = [], [], 0
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            data, starts, ends = _buffers(batch.column(2))
-            cuts, safes = cut(data, starts, ends)
-            counts = np.array([len(c) + 1 for c in cuts])
-            rows = np.repeat(np.arange(len(counts)), counts)
-            first = np.cumsum(counts) - counts
-            begin = np.repeat(starts, counts)
-            safe = np.ones(len(rows), bool)  # the join to the chunk before
-            inside = np.ones(len(rows), bool)
-            inside[first] = False
-            begin[inside] += np.concatenate(cuts) if len(cuts) else 0
-            safe[inside] = np.concatenate(safes) if len(safes) else True
-            after = np.append(safe[1:], True)
-            last = first + counts - 1
-            after[last] = True
-            offsets = np.append(begin, len(data)).astype(np.int64)
-            chunk = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows)),
-                    batch.column(1).take(pa.array(rows)),
-                    pa.array(np.arange(len(rows)) - np.repeat(first, counts), pa.int32()),
-                    pa.array(safe),
-                    pa.array(~(safe & after)),
-                    chunk.cast(pa.string()),
-                ],
-                names=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")],
-            )
+        for at in range(0, whole.num_rows, CUT_DOCUMENTS):
+            chunk, place = _cut_batch(whole.slice(at, CUT_DOCUMENTS))
+            chunks.append(chunk)
+            places.append(place)
+            held += chunk.nbytes
+            if held > WINDOW_BYTES:
+                yield from _gathered(chunks, places, salt)
+                chunks, places, held = [], [], 0
+    if chunks:
+        yield from _gathered(chunks, places, salt)
+
+
+TOKENS_SCHEMA = "doc_id bigint, text_hash bigint, seq int, safe boolean, ids binary, chunk string"
 
 
 def _encoder(path: str):
-    """The tokens of a chunk as two bytes each. A column function: the plan keeps its partitioning by digest."""
-    import pandas as pd
+    """Chunks with places -> one row per place with the chunk's tokens, two bytes each."""
 
-    def encode(chunk):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        return chunk.map(lambda t: np.array(enc.encode_ordinary(t), np.uint16).tobytes())
-
-    encode.__annotations__ = {"chunk": pd.Series, "return": pd.Series}
-    return F.pandas_udf(encode, "binary")
+        known: dict[str, bytes] = {}
+        chars = 0
+        for b in batches:
+            ids = []
+            for text in b.column(1).to_pylist():
+                got = known.get(text)
+                if got is None:
+                    got = np.array(enc.encode_ordinary(text), np.uint16).tobytes()
+                    chars += len(text)
+                    if chars > MEMORY_CHARS:
+                        known, chars = {}, len(text)
+                    known[text] = got
+                ids.append(got)
+            packed = b.column(2).to_pylist()
+            places = np.frombuffer(b"".join(packed), PLACE)
+            rows = np.repeat(np.arange(len(packed)), [len(p) // PLACE.itemsize for p in packed])
+            ids, flags = pa.array(ids, pa.binary()), places["flags"]
+            for at in range(0, len(rows), OUT_ROWS):
+                p, f, r = places[at : at + OUT_ROWS], flags[at : at + OUT_ROWS], rows[at : at + OUT_ROWS]
+                kept = pa.array(r, mask=f & KEPT == 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(p["doc_id"], mask=f & NO_ID != 0), pa.array(p["text_hash"]), pa.array(p["seq"]), pa.array(f & SAFE != 0),
+                        ids.take(pa.array(r)), b.column(1).take(kept),
+                    ],
+                    names=[c.split()[0] for c in TOKENS_SCHEMA.split(", ")],
+                )
+
+    return encode
 
 
 def join_repaired(pieces: list[tuple[str, np.ndarray]], enc) -> list[np.ndarray]:
@@ -204,74 +271,81 @@ def _split_start(split, text: str) -> int:
     return 0
 
 
+def _changes(t: pa.Table | pa.RecordBatch, *columns: int) -> np.ndarray:
+    """Whether a row differs from the one before; the first does."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        column = t.column(c)
+        value, null = column.fill_null(0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.is_null().to_numpy()
+        new[1:] |= (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+    return new
+
+
+def _assembled(t: pa.Table, enc) -> pa.RecordBatch:
+    """Whole documents, their rows in order, as doc_id and ids."""
+    t = t.filter(pa.array(_changes(t, 0, 1, 2)))  # repeated rows of the input stand side by side
+    first = np.flatnonzero(_changes(t, 0, 1))
+    safe = t.column(3).to_numpy()
+    ids, texts = t.column(4).to_pylist(), t.column(5)
+    broken = ~safe
+    broken[first] = False
+    n_broken = np.append(0, np.cumsum(broken))
+    out, lengths = [], []
+    for lo, hi in zip(first.tolist(), np.append(first, t.num_rows)[1:].tolist(), strict=True):
+        if n_broken[lo] == n_broken[hi]:
+            whole = b"".join(ids[lo:hi])
+        else:
+            parts, j = [], lo
+            while j < hi:
+                k = j + 1
+                while k < hi and broken[k]:
+                    k += 1
+                if k == j + 1:
+                    parts.append(ids[j])
+                else:
+                    pieces = [(texts[x].as_py(), np.frombuffer(ids[x], np.uint16)) for x in range(j, k)]
+                    parts += [piece.tobytes() for piece in join_repaired(pieces, enc)]
+                j = k
+            whole = b"".join(parts)
+        out.append(whole)
+        lengths.append(len(whole) // 2)
+    tokens = np.frombuffer(b"".join(out), np.uint16).astype(np.int32)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+    doc = t.column(0).take(pa.array(first)).combine_chunks()
+    return pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(offsets, pa.array(tokens))], names=["doc_id", "ids"])
+
+
 def _assembler(path: str):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
+        key = lambda b, i: (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+        held: list[pa.RecordBatch] = []  # the last one ends in a document that may go on
         for b in batches:
-            out, lengths = [], []
-            parts_of = b.column(1)
-            bounds = parts_of.offsets.to_numpy()
-            flat = parts_of.flatten() if parts_of.null_count == 0 else parts_of.values
-            base = bounds[0]
-            seq, safe = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
-            ids, texts = flat.field(2).to_pylist(), flat.field(3)
-            for i in range(b.num_rows):
-                lo, hi = int(bounds[i] - base), int(bounds[i + 1] - base)
-                n, j = 0, lo
-                while j < hi:
-                    k = j + 1
-                    while k < hi and not safe[k]:
-                        k += 1
-                    if k == j + 1:
-                        out.append(ids[j])
-                        n += len(ids[j]) // 2
-                    else:
-                        pieces = [(texts[x].as_py(), np.frombuffer(ids[x], np.uint16)) for x in range(j, k)]
-                        for t in join_repaired(pieces, enc):
-                            out.append(t.tobytes())
-                            n += len(t)
-                    j = k
-                lengths.append(n)
-            tokens = np.frombuffer(b"".join(out), np.uint16).astype(np.int32)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(tokens))], names=["doc_id", "ids"]
-            )
+            if not b.num_rows:
+                continue
+            if held and key(held[-1], held[-1].num_rows - 1) != key(b, 0):
+                yield _assembled(pa.Table.from_batches(held), enc)
+                held = []
+            last = int(np.flatnonzero(_changes(b, 0, 1))[-1])
+            if last:
+                yield _assembled(pa.Table.from_batches([*held, b.slice(0, last)]), enc)
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield _assembled(pa.Table.from_batches(held), enc)
 
     return assemble
 
 
 def encode_corpus(documents: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
     """(doc_id bigint, ids array<int>) of every document."""
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    full = docs.where("text is not null and text <> ''").select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "text"
-    )
-    chunks = full.mapInArrow(_chunks, CHUNK_SCHEMA).withColumns(
-        {"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(7), "chunk", F.lit(11))}
-    )
-    here = ["doc_id", "text_hash", "seq", "safe"]
-    encoded = (
-        chunks.groupBy("h1", "h2")
-        .agg(F.first("chunk").alias("chunk"), F.first(F.struct(*here, "kept")).alias("at"), F.count(F.lit(1)).alias("n"))
-        .select("h1", "h2", "n", "at", "chunk", _encoder(path)("chunk").alias("ids"))
-    )
-    # all branches read the same columns of the grouping, so that they share its one exchange
-    whole = F.col("at.seq") >= 0
-    # a chunk that occurs once needs no join: the grouping knows its place
-    lone = encoded.where("n = 1").select(*[F.col(f"at.{c}") for c in here], F.when(F.col("at.kept"), F.col("chunk")).alias("text"), "ids")
-    places = chunks.select(*here, F.when(F.col("kept"), F.col("chunk")).alias("text"), "h1", "h2")
-    # chunks of very many documents go to the documents, not the documents to them
-    hot = F.broadcast(encoded.where((F.col("n") > HOT_OCCURRENCES) & whole).select("h1", "h2", "ids"))
-    shared = encoded.where((F.col("n") > 1) & (F.col("n") <= HOT_OCCURRENCES) & whole).select("h1", "h2", "ids")
-    often = places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(shared, ["h1", "h2"]).unionByName(places.join(hot, ["h1", "h2"]))
-    placed = lone.unionByName(often.drop("h1", "h2"))
-    parts = placed.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set(F.struct("seq", "safe", "ids", "text"))).alias("parts")
-    )
-    some = parts.select("doc_id", "parts").mapInArrow(_assembler(path), "doc_id bigint, ids array<int>")
-    none = docs.where("text is null or text = ''").select("doc_id").distinct()
-    return some.unionByName(none.select("doc_id", F.array().cast("array<int>").alias("ids")))
+    text_hash = F.when(F.col("text") != "", F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash.alias("text_hash"), "text")
+    chunks = docs.mapInArrow(_chunks, CHUNK_SCHEMA)
+    placed = chunks.repartition(F.xxhash64("chunk"), "salt").mapInArrow(_encoder(path), TOKENS_SCHEMA)
+    in_order = placed.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "seq")
+    return in_order.mapInArrow(_assembler(path), "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:

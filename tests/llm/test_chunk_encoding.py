@@ -20,23 +20,28 @@ def test_repaired_joins_are_exact(parts):
     assert got == ENC.encode_ordinary("".join(parts))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(PIECES, max_size=400).map("".join), min_size=1, max_size=5))
-def test_cuts_keep_the_text_and_its_characters(texts):
+def chunks_of(texts):
+    """(document, place, chunk) of every place, from the map side alone."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["d", "h", "t"])
-    back = {}
+    out = []
     for b in ce._chunks(iter([batch])):
         for r in b.to_pylist():
-            back.setdefault(r["doc_id"], []).append((r["seq"], r["chunk"]))
-    assert ["".join(c for _, c in sorted(back[i])) for i in range(len(texts))] == texts
+            out += [(int(p["doc_id"]), int(p["seq"]), r["chunk"]) for p in np.frombuffer(r["places"], ce.PLACE)]
+    return sorted(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=400).map("".join), min_size=1, max_size=5))
+def test_cuts_keep_the_text_and_its_characters(texts):
+    back = chunks_of(texts)
+    assert ["".join(c for d, _, c in back if d == i) for i in range(len(texts))] == texts
+    assert all([k for d, k, _ in back if d == i] == list(range(sum(d == i for d, _, _ in back))) for i in range(len(texts)))
 
 
 def test_cuts_follow_the_content():
     shared = " ".join(f"passage number {i} of the shared text" for i in range(200))
-    texts = ["short start. " + shared, "another and quite different start of it. " + shared]
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 0]), pa.array(texts)], names=["d", "h", "t"])
-    rows = [r for b in ce._chunks(iter([batch])) for r in b.to_pylist()]
-    one, two = ({r["chunk"] for r in rows if r["doc_id"] == i} for i in (0, 1))
+    back = chunks_of(["short start. " + shared, "another and quite different start of it. " + shared])
+    one, two = ({c for d, _, c in back if d == i} for i in (0, 1))
     assert len(one & two) > 0.8 * len(one)
 
 
@@ -51,12 +56,22 @@ def test_whole_corpus_equals_direct_encoding(spark):
     assert got == {k: ENC.encode_ordinary(t or "") for k, t in texts.items()}
 
 
-def test_hot_chunks_take_the_other_way(spark, monkeypatch):
-    texts = {i: "License text that everybody copies, word by word. " * 60 + f"own end {i}" for i in range(12)}
-    for bound in (1, 3, 11, 12):
-        monkeypatch.setattr(ce, "HOT_OCCURRENCES", bound)
-        got = {r["doc_id"]: r["ids"] for r in ce.encode_corpus(documents(spark, list(texts.items()))).collect()}
-        assert got == {k: ENC.encode_ordinary(t) for k, t in texts.items()}
+@pytest.mark.parametrize("hot, memory, rows, window", [(1, 100, 3, 1), (11, 10**6, 8192, 5000), (1000, 2000, 2, 10**8)])
+def test_hot_chunks_small_memories_and_windows(spark, monkeypatch, hot, memory, rows, window):
+    for name, value in (("HOT_PLACES", hot), ("MEMORY_CHARS", memory), ("OUT_ROWS", rows), ("WINDOW_BYTES", window), ("CUT_DOCUMENTS", 5)):
+        monkeypatch.setattr(ce, name, value)
+    texts = {i: "License text that everybody copies, word by word. " * 60 + f"own end {i}" for i in range(12)} | {20: "", 21: None, 22: "ab" * 3000}
+    # the closures are called here, so that the changed bounds hold; Spark's workers import the module anew
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array([0 if not t else hash(t) for t in texts.values()]), pa.array(list(texts.values()))], names=["d", "h", "t"])
+    placed = pa.Table.from_batches(list(ce._encoder(BYTE_BPE_50K)(ce._chunks(iter([batch])))))
+    placed = pa.concat_tables([placed, placed]).sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("seq", "ascending")])
+    got = [r for b in ce._assembler(BYTE_BPE_50K)(iter(placed.to_batches(max_chunksize=rows))) for r in b.to_pylist()]
+    assert len(got) == len(texts) and {r["doc_id"]: r["ids"] for r in got} == {k: ENC.encode_ordinary(t or "") for k, t in texts.items()}
+
+
+def test_documents_without_an_id_and_several_texts(spark):
+    df = ce.encode_corpus(documents(spark, [(None, "a b"), (None, "a b"), (0, "a b"), (3, None), (3, ""), (3, "c")]))
+    assert sorted(((r[0], r[1]) for r in df.collect()), key=repr) == sorted([(None, ENC.encode_ordinary("a b")), (0, ENC.encode_ordinary("a b")), (3, []), (3, ENC.encode_ordinary("c"))], key=repr)
 
 
 def test_every_document_comes_out_once(spark):
