@@ -47,7 +47,7 @@ HEADER_KEYWORDS = {
 
 _LEX = re.compile(
     r"(?P<blank>[ \t\f\v]+)|(?P<newline>\n)|(?P<comment>/\*.*?\*/|//[^\n]*)|(?P<open>/\*)"
-    r"|(?P<string>(?:u8|[LuU])?\"(?:[^\"\\\n]|\\[^\n])*\")|(?P<char>[LuU]?'(?:[^'\\\n]|\\[^\n])+')"
+    r"|(?P<string>(?:u8|[LuU])?\"(?:[^\"\\\n]++|\\[^\n])*+\")|(?P<char>[LuU]?'(?:[^'\\\n]++|\\[^\n])++')"
     r"|(?P<number>\.?[0-9](?:[eEpP][+-]|[\w.])*)|(?P<name>[^\W\d]\w*)"
     r"|(?P<op>\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|\#\#|<:|:>|<%|%>|%:%:|%:|[-+*/%&|^~!<>=?:;,.(){}\[\]\#])|(?P<other>.)",
     re.S,
@@ -90,89 +90,109 @@ def lines(text: str) -> list[list[Token]]:
     return out
 
 
-class _Condition:
-    """Value of an #if expression, by precedence."""
-
-    LEVELS = [("||",), ("&&",), ("|",), ("^",), ("&",), ("==", "!="), ("<", ">", "<=", ">="), ("<<", ">>"), ("+", "-"), ("*", "/", "%")]
-
-    def __init__(self, tokens: list[Token]):
-        self.t, self.i = tokens, 0
-        self.end = tokens[-1][2] if tokens else 0
-
-    def fail(self):
-        raise SyntaxProblem("#if expression", self.t[self.i][2] if self.i < len(self.t) else self.end)
-
-    def peek(self) -> str:
-        return self.t[self.i][1] if self.i < len(self.t) else ""
-
-    def value(self) -> int:
-        v = self.ternary()
-        if self.i < len(self.t):
-            self.fail()
-        return v
-
-    def ternary(self) -> int:
-        c = self.level(0)
-        if self.peek() == "?":
-            self.i += 1
-            a = self.ternary()
-            if self.peek() != ":":
-                self.fail()
-            self.i += 1
-            b = self.ternary()
-            return a if c else b
-        return c
-
-    def level(self, k: int) -> int:
-        if k == len(self.LEVELS):
-            return self.unary()
-        left = self.level(k + 1)
-        while self.peek() in self.LEVELS[k]:
-            op = self.peek()
-            self.i += 1
-            right = self.level(k + 1)
-            if op in ("/", "%"):
-                # a division by zero is no question of syntax
-                left = (int(left / right) if op == "/" else left - right * int(left / right)) if right else 0
+#: Precedence of the operators of an #if expression.
+_PRECEDENCE = {op: k for k, ops in enumerate(["?", "|| ", "&&", "|", "^", "&", "== !=", "< > <= >=", "<< >>", "+ -", "* / %"]) for op in ops.split()}
+_UNARY, _TERNARY = 20, 0
+_BINARY = {
+    "||": lambda a, b: int(bool(a or b)), "&&": lambda a, b: int(bool(a and b)), "|": lambda a, b: a | b, "^": lambda a, b: a ^ b,
+    "&": lambda a, b: a & b, "==": lambda a, b: int(a == b), "!=": lambda a, b: int(a != b), "<": lambda a, b: int(a < b),
+    ">": lambda a, b: int(a > b), "<=": lambda a, b: int(a <= b), ">=": lambda a, b: int(a >= b), "<<": lambda a, b: a << (b & 63),
+    ">>": lambda a, b: a >> (b & 63), "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b,
+    # a division by zero is no question of syntax
+    "/": lambda a, b: _quotient(a, b), "%": lambda a, b: a - b * _quotient(a, b),
+}
+_PREFIX = {"!": lambda v: int(not v), "-": lambda v: -v, "+": lambda v: v, "~": lambda v: ~v}
+
+
+def _quotient(a: int, b: int) -> int:
+    if not b:
+        return 0
+    return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+
+
+def _wrapped(v: int) -> int:
+    """As a signed number of 64 bits, so that values stay small."""
+    return (v + 2**63) % 2**64 - 2**63
+
+
+def condition(tokens: list[Token]) -> int:
+    """Value of an #if expression: operator precedence with an explicit stack, so any nesting is read."""
+    values: list[int] = []
+    waiting: list[tuple[str, int]] = []  # (operator, precedence); "(" and "?" wait for ")" and ":"
+    operand = True
+
+    def fail(k: int):
+        raise SyntaxProblem("#if expression", tokens[k][2] if k < len(tokens) else tokens[-1][2] if tokens else 0)
+
+    def reduce(lowest: int) -> None:
+        while waiting and waiting[-1][1] >= lowest and waiting[-1][0] not in ("(", "?"):
+            op, level = waiting.pop()
+            if level == _UNARY:
+                values[-1] = _wrapped(_PREFIX[op](values[-1]))
+            elif op == ":":
+                c, a, b = values[-3:]
+                values[-3:] = [a if c else b]
             else:
-                left = {
-                    "||": lambda a, b: int(bool(a or b)), "&&": lambda a, b: int(bool(a and b)), "|": lambda a, b: a | b, "^": lambda a, b: a ^ b,
-                    "&": lambda a, b: a & b, "==": lambda a, b: int(a == b), "!=": lambda a, b: int(a != b), "<": lambda a, b: int(a < b),
-                    ">": lambda a, b: int(a > b), "<=": lambda a, b: int(a <= b), ">=": lambda a, b: int(a >= b), "<<": lambda a, b: a << (b & 63),
-                    ">>": lambda a, b: a >> (b & 63), "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b,
-                }[op](left, right)
-        return left
-
-    def unary(self) -> int:
-        if self.i >= len(self.t):
-            self.fail()
-        kind, text, _ = self.t[self.i]
-        self.i += 1
-        if text in ("!", "-", "+", "~"):
-            v = self.unary()
-            return {"!": int(not v), "-": -v, "+": v, "~": ~v}[text]
-        if text == "(":
-            v = self.ternary()
-            if self.peek() != ")":
-                self.fail()
-            self.i += 1
-            return v
-        if kind == "number":
-            m = re.fullmatch(r"(0[xX][0-9a-fA-F]+|0[bB][01]+|[0-9]+)[uUlL]*", text)
-            if m and _INT.fullmatch(text):
-                d = m[1]
-                return int(d, 16 if d[:2] in ("0x", "0X") else 2 if d[:2] in ("0b", "0B") else 8 if d[0] == "0" else 10)
-        if kind == "char":
-            return ord(text[-2])
-        if kind == "name":
-            return 0
-        self.i -= 1
-        return self.fail()
+                right = values.pop()
+                values[-1] = _wrapped(_BINARY[op](values[-1], right))
+
+    for k, (kind, text, _) in enumerate(tokens):
+        if operand:
+            if kind == "op" and text in _PREFIX:
+                waiting.append((text, _UNARY))
+            elif kind == "op" and text == "(":
+                waiting.append(("(", -1))
+            else:
+                values.append(_operand(kind, text, lambda k=k: fail(k)))
+                operand = False
+        elif kind == "op" and text == ")":
+            reduce(-1)
+            if not waiting or waiting.pop()[0] != "(":
+                fail(k)
+        elif kind == "op" and text == ":":
+            reduce(-1)
+            if not waiting or waiting.pop()[0] != "?":
+                fail(k)
+            waiting.append((":", _TERNARY))
+            operand = True
+        elif kind == "op" and text in _PRECEDENCE:
+            level = _PRECEDENCE[text]
+            reduce(level + 1 if text == "?" else level)
+            waiting.append((text, level))
+            operand = True
+        else:
+            fail(k)
+    if operand:
+        fail(len(tokens))
+    reduce(-1)
+    if waiting:
+        fail(len(tokens))
+    return values[0]
+
+
+def _operand(kind: str, text: str, fail) -> int:
+    if kind == "number":
+        m = re.fullmatch(r"(0[xX][0-9a-fA-F]+|0[bB][01]+|[0-9]+)[uUlL]*", text)
+        if m and _INT.fullmatch(text):
+            d = m[1]
+            # digits beyond 64 bits change the value, not the syntax
+            base = 16 if d[:2] in ("0x", "0X") else 2 if d[:2] in ("0b", "0B") else 8 if d[0] == "0" else 10
+            return _wrapped(int(d[2:] if base in (2, 16) else d, base) if len(d) < 100 else 1)
+    if kind == "char":
+        return ord(text[-2])
+    if kind == "name":
+        return 0
+    return fail()
+
+
+#: Tokens that the macro calls of one text may collect and produce; doubling macros would have no end.
+MAX_EXPANSION = 5_000_000
 
 
 class Preprocessor:
     def __init__(self, text: str):
         self.text = text
+        self.work = 0
         self.macros: dict[str, tuple[list[str] | None, bool, list[Token]]] = {}
         self.types: set[str] = set()
         self.type_macros: set[str] = set()
@@ -245,7 +265,7 @@ class Preprocessor:
                 k += 1
         if not given:
             raise SyntaxProblem("#if with no expression", at)
-        return _Condition([t for t in self.expand(given, frozenset()) if t[0] != "blank"]).value() != 0
+        return condition([t for t in self.expand(given, frozenset()) if t[0] != "blank"]) != 0
 
     def directive(self, name: str, line: list[Token], rest: list[Token], at: int) -> None:
         if name == "define":
@@ -315,6 +335,11 @@ class Preprocessor:
             self.out += [t for t in got if t[0] != "blank"]
             self.pending = []
 
+    def spend(self, n: int, at: int) -> None:
+        self.work += n
+        if self.work > MAX_EXPANSION:
+            raise SyntaxProblem("macro expansion too large", at)
+
     def expand(self, tokens: list[Token], hidden: frozenset) -> list[Token]:
         out: list[Token] = []
         todo = [(t, hidden) for t in reversed(tokens)]
@@ -325,6 +350,7 @@ class Preprocessor:
                 continue
             params, variadic, body = self.macros[t[1]]
             if params is None:
+                self.spend(len(body) + 1, t[2])
                 todo += [((k, x, t[2]), hide | {t[1]}) for k, x, _ in reversed(self.paste(body))]
                 continue
             k = len(todo) - 1
@@ -349,6 +375,7 @@ class Preprocessor:
                 k -= 1
             if k < 0:
                 raise SyntaxProblem("unterminated macro call", t[2])
+            self.spend(len(todo) - k + len(body), t[2])
             del todo[k:]
             if not params and len(args) == 1 and all(x[0] == "blank" for x in args[0]):
                 args = []
@@ -357,7 +384,9 @@ class Preprocessor:
             if len(args) != len(params):
                 raise SyntaxProblem("macro arguments", t[2])
             given = dict(zip(params, args, strict=True))
-            todo += [((k2, x, t[2]), hide | {t[1]}) for k2, x, _ in reversed(self.substitute(body, given, hide))]
+            got = self.substitute(body, given, hide)
+            self.spend(len(got), t[2])
+            todo += [((k2, x, t[2]), hide | {t[1]}) for k2, x, _ in reversed(got)]
         return out
 
     def substitute(self, body: list[Token], given: dict[str, list[Token]], hide: frozenset) -> list[Token]:

@@ -18,7 +18,7 @@ GRAMMAR = Grammar(
 )
 
 _LEX = re.compile(
-    r'[ \t\n\r]+|(?P<STRING>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")'
+    r'[ \t\n\r]+|(?P<STRING>"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")'
     r"|(?P<NUMBER>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(?P<op>[{}\[\]:,]|true|false|null)"
 )
 

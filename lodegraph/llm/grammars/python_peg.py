@@ -16,7 +16,7 @@ KEYWORDS = frozenset(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import"
     " in is lambda nonlocal not or pass raise return try while with yield".split()
 )
-MAX_NESTING, MAX_INDENTS = 200, 100
+MAX_NESTING, MAX_INDENTS, MAX_FSTRINGS = 200, 100, 150
 
 GRAMMAR = Grammar(
     """
@@ -170,7 +170,7 @@ _OPERATOR = re.compile(r"\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|<<|>>|<=|>=|=
 _NAME = re.compile(r"[^\W\d]\w*|[A-Za-z_][A-Za-z_0-9]*")
 _PREFIX = re.compile(r"(?i:([rbuf]|rb|br|rf|fr)?)(\"\"\"|'''|\"|')")
 _BODY = {
-    q: re.compile(rf"(?:[^\\{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]|\\(?:.|\n){'|' + q[0] + '(?!' + q[0] * 2 + ')' if len(q) == 3 else ''})*{q}", re.S)
+    q: re.compile(rf"(?:[^\\{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]++|\\(?:.|\n){'|' + q[0] + '(?!' + q[0] * 2 + ')' if len(q) == 3 else ''})*+{q}", re.S)
     for q in ("'", '"', "'''", '"""')
 }
 _KIND = {"!=": "COMPARE", "==": "COMPARE", "<=": "COMPARE", ">=": "COMPARE", "<": "COMPARE", ">": "COMPARE"} | dict.fromkeys(
@@ -204,6 +204,7 @@ class _Lexer:
         self.kinds: list[str] = []
         self.texts: list[str] = []
         self.offsets: list[int] = []
+        self.fstrings = 1
 
     def put(self, kind: str, text: str, at: int) -> None:
         self.kinds.append(kind)
@@ -346,8 +347,12 @@ class _Lexer:
 
     def fstring(self, at: int, prefix: str, quote: str, start: int, brackets: list[str]) -> int:
         self.put("FSTART", "", at)
+        self.fstrings += 1
+        if self.fstrings > MAX_FSTRINGS:
+            raise SyntaxProblem("f-string: nested too deeply", at)
         end = self.literal_part(at, prefix, quote, start, False, 0)
         self.put("FEND", "", end)
+        self.fstrings -= 1
         return end
 
     def literal_part(self, origin: int, prefix: str, quote: str, at: int, in_spec: bool, depth: int) -> int:

@@ -11,12 +11,20 @@ Every rule is memoised per position, so parsing is linear in the number of token
 entered only if the next token can start them; this does not change the language.  A recogniser must
 consume the whole input.  ``furthest`` parses again with a recogniser that records the last position at
 which a token was tested and did not fit, the usual error position of such parsers.
+
+Each grammar is compiled twice: to nested Python functions, which are fast, and to instructions of a small
+parsing machine whose stack and memo tables are flat arrays of numbers.  A text nested more deeply than
+``MAX_FRAMES`` calls goes to the machine, which has no depth limit; both accept the same texts.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from array import array
+
+#: Nested calls of the compiled functions, beyond which the machine takes over.
+MAX_FRAMES = 50_000
 
 _TOKEN = re.compile(r"""\s*(?:(?P<rule>[a-z_][a-z_0-9]*)\s*<-|(?P<name>[A-Za-z_][A-Za-z_0-9]*)|'(?P<kind>[^']+)'|"(?P<soft>[^"]+)"|(?P<op>[/()?*+&!]))""")
 
@@ -81,6 +89,7 @@ class Grammar:
         self._analyse()
         self._fast = self._compile(tracking=False)
         self._slow = self._compile(tracking=True)
+        self._code = _instructions(self)
 
     def _analyse(self) -> None:
         """Which expressions may match nothing, and the tokens that the others start with."""
@@ -201,23 +210,186 @@ class Grammar:
 
     def accepts(self, kinds: list[str], texts: list[str]) -> bool:
         """Whether the whole input is a sentence. The lists end with an 'EOF' token."""
-        with _deep():
-            return self._fast(kinds, texts, [0]) == len(kinds)
+        try:
+            with deep():
+                return self._fast(kinds, texts, [0]) == len(kinds)
+        except RecursionError:
+            return self.run_machine(kinds, texts)[0] == len(kinds)
 
     def furthest(self, kinds: list[str], texts: list[str]) -> int:
         """Index of the furthest token at which the input could not be continued."""
         far = [0]
-        with _deep():
-            self._slow(kinds, texts, far)
+        try:
+            with deep():
+                self._slow(kinds, texts, far)
+        except RecursionError:
+            far = [self.run_machine(kinds, texts)[1]]
         return min(far[0], len(kinds) - 1)
 
+    def run_machine(self, kinds: list[str], texts: list[str]) -> tuple[int, int]:
+        """(end of the match or -1, furthest failed position), whatever the depth.
+
+        The stack holds (where to go, position, rule): of a call with the rule's number, of a choice with -1.
+        """
+        code, start = self._code
+        n = len(kinds)
+        memo: list[array | None] = [None] * len(self.rules)
+        unknown = array("i", [-2]) * (n + 1)
+        stack = array("i")
+        pc, i, far = start, 0, 0
+        while True:
+            op, arg, to = code[pc]
+            if op == TOKEN:
+                if i < n and kinds[i] == arg:
+                    i += 1
+                    pc += 1
+                    continue
+                far = i if i > far else far
+            elif op == GUARD:
+                if i < n and kinds[i] in arg:
+                    pc += 1
+                    continue
+                far = i if i > far else far
+                if to >= 0:
+                    pc = to
+                    continue
+            elif op == CALL:
+                table = memo[arg]
+                if table is None:
+                    table = memo[arg] = unknown[:]
+                end = table[i]
+                if end == -2:
+                    stack.extend((pc + 1, i, arg))
+                    pc = to
+                    continue
+                if end >= 0:
+                    i = end
+                    pc += 1
+                    continue
+            elif op == RETURN:
+                if not stack:
+                    return i, far
+                rule, at, pc = stack.pop(), stack.pop(), stack.pop()
+                memo[rule][at] = i
+                continue
+            elif op == CHOICE:
+                stack.extend((to, i, -1))
+                pc += 1
+                continue
+            elif op == COMMIT:
+                del stack[-3:]
+                pc = to
+                continue
+            elif op == LOOP:  # an item that matched nothing ends the repetition
+                pc = to if stack[-2] < i else pc + 1
+                del stack[-3:]
+                continue
+            elif op == BACK:  # a look-ahead that holds consumes nothing
+                i = stack[-2]
+                del stack[-3:]
+                pc = to
+                continue
+            elif op == SOFT:
+                if i < n and kinds[i] == "NAME" and texts[i] == arg:
+                    i += 1
+                    pc += 1
+                    continue
+                far = i if i > far else far
+            elif op == DROP:
+                del stack[-3:]
+            # failure: back to the last choice; the rules left on the way do not match where they were called
+            while stack:
+                rule, at, pc = stack.pop(), stack.pop(), stack.pop()
+                if rule < 0:
+                    i = at
+                    break
+                memo[rule][at] = -1
+            else:
+                return -1, far
+
+
+TOKEN, SOFT, CALL, RETURN, CHOICE, COMMIT, LOOP, BACK, DROP, GUARD, FAIL = range(11)
+
+
+def _instructions(grammar: Grammar) -> tuple[list[tuple], int]:
+    """The rules as (operation, argument, target); the first instruction to run."""
+    code: list[list] = []
+    number = {name: k for k, name in enumerate(grammar.rules)}
+    begins: dict[str, int] = {}
+
+    def add(op, arg=None, to=-1) -> int:
+        code.append([op, arg, to])
+        return len(code) - 1
+
+    def guarded(node) -> int | None:
+        empty, first = grammar._of(node)
+        return None if empty else add(GUARD, first)
+
+    def emit(node) -> None:
+        kind, arg = node
+        if kind == "token":
+            add(TOKEN, arg)
+        elif kind == "soft":
+            add(SOFT, arg)
+        elif kind == "rule":
+            add(CALL, arg)
+        elif kind == "seq":
+            for a in arg:
+                emit(a)
+        elif kind == "choice":
+            ends = []
+            for k, a in enumerate(arg):
+                guard = guarded(a)
+                if k == len(arg) - 1:
+                    emit(a)
+                    break
+                choice = add(CHOICE)
+                emit(a)
+                ends.append(add(COMMIT))
+                code[choice][2] = len(code)
+                if guard is not None:
+                    code[guard][2] = len(code)
+            for e in ends:
+                code[e][2] = len(code)
+        elif kind in ("opt", "star"):
+            begin = len(code)
+            guard, choice = guarded(arg), add(CHOICE)
+            emit(arg)
+            add(COMMIT if kind == "opt" else LOOP, None, len(code) + 1 if kind == "opt" else begin)
+            code[choice][2] = len(code)
+            if guard is not None:
+                code[guard][2] = len(code)
+        elif kind == "plus":
+            if grammar._of(arg)[0]:
+                raise ValueError("a repeated item may match nothing")
+            emit(arg)
+            emit(("star", arg))
+        else:
+            choice = add(CHOICE)
+            emit(arg)
+            if kind == "and":
+                add(BACK, None, len(code) + 2)
+                code[choice][2] = add(FAIL)
+            else:
+                add(DROP)
+                code[choice][2] = len(code)
+
+    for name, body in grammar.rules.items():
+        begins[name] = len(code)
+        emit(body)
+        add(RETURN)
+    for c in code:
+        if c[0] == CALL:
+            c[1], c[2] = number[c[1]], begins[c[1]]
+    return [tuple(c) for c in code], begins[grammar.start]
+
 
-class _deep:
-    """Room for nesting as deep as the input; calls between Python functions use no C stack."""
+class deep:
+    """Room for ``MAX_FRAMES`` nested calls; calls between Python functions use no C stack."""
 
     def __enter__(self):
         self.old = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(self.old, 400_000))
+        sys.setrecursionlimit(max(self.old, MAX_FRAMES))
 
     def __exit__(self, *_):
         sys.setrecursionlimit(self.old)

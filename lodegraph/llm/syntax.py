@@ -8,7 +8,10 @@ Defined results
 * The extension decides (.py, .c, .h, .json, without case); other files are not judged. ``lang`` is ignored.
 * Null content is no case. Empty Python and C texts are valid, an empty JSON text is not.
 * Repeated rows count once; of several contents of one file each is judged, one that fails makes a case.
-* Texts of any length and nesting are parsed whole; the depth limits are the language's own.
+* Texts of any length and nesting are parsed whole; the depth limits are the language's own (brackets, indents
+  and f-strings in Python).
+* A C text whose macro calls collect and produce more than ``c_preprocess.MAX_EXPANSION`` tokens is reported as
+  not valid, with "macro expansion too large" as what was found: compilers give up on such texts, too.
 * Files that no entity of type file names are not judged by ``invalid_files``.
 """
 
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.peg import SyntaxProblem
+from lodegraph.llm.peg import SyntaxProblem, deep
 from lodegraph.session import shuffle_width
 
 LANGUAGES = {"py": "python", "c": "c", "h": "c", "json": "json"}
@@ -34,10 +37,18 @@ def _module(language: str):
     return {"python": python_peg, "c": c_peg, "json": json_peg}[language]
 
 
+def _tokens(module, text: str) -> tuple[list[str], list[str], list[int]]:
+    try:
+        with deep():
+            return module.tokens(text)
+    except RecursionError:  # only macro calls nested in arguments, and long before this by their cost
+        raise SyntaxProblem("macro expansion too large", 0) from None
+
+
 def parses(text: str, language: str) -> bool:
     module = _module(language)
     try:
-        kinds, texts, _ = module.tokens(text)
+        kinds, texts, _ = _tokens(module, text)
     except SyntaxProblem:
         return False
     return module.GRAMMAR.accepts(kinds, texts)
@@ -48,7 +59,7 @@ def judge(text: str, language: str) -> tuple[int, int, str, str] | None:
     module = _module(language)
     found = ""
     try:
-        kinds, texts, offsets = module.tokens(text)
+        kinds, texts, offsets = _tokens(module, text)
         if module.GRAMMAR.accepts(kinds, texts):
             return None
         at = module.GRAMMAR.furthest(kinds, texts)

@@ -109,3 +109,102 @@ def test_grammar_operators():
     ok = lambda t: g.accepts([*t, "EOF"], [*t, ""])
     assert ok("") and ok("abbab") and ok("abx") and not ok("a") and not ok("abz") and not ok("xy")
     assert g.furthest([*"abbq", "EOF"], [*"abbq", ""]) == 3
+
+
+@pytest.mark.parametrize("text, language", [(t, "python") for t in GOOD_PY + BAD_PY] + [(t, "c") for t in GOOD_C + BAD_C] + [(t, "json") for t in ("[1, {}]", "[1,", "{\"a\": [true, null]}", "[[[}", "")])
+def test_the_machine_agrees_with_the_functions(text, language):
+    module = sx._module(language)
+    try:
+        kinds, texts, _ = module.tokens(text)
+    except sx.SyntaxProblem:
+        return
+    end, far = module.GRAMMAR.run_machine(kinds, texts)
+    assert (end == len(kinds)) == module.GRAMMAR.accepts(kinds, texts)
+    if end != len(kinds):
+        assert min(far, len(kinds) - 1) == module.GRAMMAR.furthest(kinds, texts)
+
+
+@pytest.mark.parametrize("depth", [300_000])
+def test_hostile_nesting_gets_a_verdict(depth):
+    assert sx.judge("[" * depth + "]" * depth, "json") is None
+    assert sx.judge("[" * depth, "json") == (1, depth + 1, "EOF", "truncated")
+    assert sx.judge("void f(void) {" + "{" * depth + "}" * depth + "}", "c") is None
+    assert sx.judge("#if " + "(" * depth + "1" + ")" * depth + "\nint x;\n#endif\n", "c") is None
+    assert sx.judge("int x = " + "-" * 5 + "(" * 60_000 + "1" + ")" * 59_999 + ";", "c")[3] == "other"
+    assert sx.judge("x = " + "not " * depth + "y", "python") is None
+    assert sx.judge("x = " + "(" * depth + "y" + ")" * depth, "python")[2] == "nesting too deep"
+
+
+def test_macros_without_end_get_a_verdict():
+    doubling = "#define A0 1 1\n" + "".join(f"#define A{i} A{i - 1} A{i - 1}\n" for i in range(1, 60)) + "int x = A59;\n"
+    assert sx.judge(doubling, "c")[2] == "macro expansion too large"
+    nested = "#define M(x) x\nint x = " + "M(" * 20_000 + "1" + ")" * 20_000 + ";"
+    assert sx.judge(nested, "c")[2] == "macro expansion too large"
+    assert sx.judge("#define M(x) x\nint x = " + "M(" * 300 + "1" + ")" * 300 + ";", "c") is None
+
+
+NUMBERS = st.sampled_from(["0", "1", "2", "7", "0x10", "010"])
+EXPRESSIONS = st.recursive(
+    NUMBERS,
+    lambda e: st.one_of(
+        st.builds("({} {} {})".format, e, st.sampled_from("+ - * < > == && || & | ^ <<".split()), e),
+        st.builds("{}{}".format, st.sampled_from("!~-+"), e.map(lambda x: f"({x})")),
+        st.builds("({} ? {} : {})".format, e, e, e),
+    ),
+    max_leaves=12,
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(EXPRESSIONS)
+def test_if_expressions(text):
+    from lodegraph.llm.grammars.c_preprocess import condition, lines
+
+    def value(t):
+        t = t.strip()
+        if not t.startswith("(") and t[0] not in "!~-+":
+            return int(t, 8) if len(t) > 1 and t.isdigit() else int(t, 0)
+        if t[0] != "(":
+            v = value(t[1:])
+            return {"!": int(not v), "~": ~v, "-": -v, "+": v}[t[0]]
+        inner, depth, parts, last = t[1:-1], 0, [], 0
+        if depth == 0 and _whole(inner):
+            return value(inner)
+        for k, c in enumerate(inner):
+            depth += (c == "(") - (c == ")")
+            if depth == 0 and c == " ":
+                parts.append(inner[last:k])
+                last = k + 1
+        parts.append(inner[last:])
+        if len(parts) == 1:
+            return value(parts[0])
+        if len(parts) == 5:
+            return value(parts[2]) if value(parts[0]) else value(parts[4])
+        a, op, b = value(parts[0]), parts[1], value(parts[2])
+        if op in ("&&", "||"):
+            return int(bool(a and b) if op == "&&" else bool(a or b))
+        return int(eval(f"a {op} (b & 63)" if op == "<<" else f"a {op} b"))
+
+    got = condition([t for t in lines(text)[0] if t[0] != "blank"])
+    assert got == (value(text) + 2**63) % 2**64 - 2**63
+
+
+def _whole(t):
+    depth = 0
+    for k, c in enumerate(t):
+        depth += (c == "(") - (c == ")")
+        if depth == 0:
+            return k == len(t) - 1
+    return False
+
+
+@pytest.mark.parametrize("text, value", [("1 + 2 * 3", 7), ("1 - 2 - 3", -4), ("1 ? 2 : 0 ? 3 : 4", 2), ("0 ? 2 : 1 ? 3 : 4", 3), ("1 || 0 && 0", 1), ("- 7 / 2", -3), ("-7 % 3", -1), ("5 / 0", 0), ("'a' == 97", 1), ("!x", 1), ("~0 == -1", 1)])
+def test_if_precedence(text, value):
+    from lodegraph.llm.grammars.c_preprocess import condition, lines
+
+    assert condition([t for t in lines(text)[0] if t[0] != "blank"]) == value
+
+
+@pytest.mark.parametrize("text", ["", "(", "1 +", "1 2", ")", "1 ? 2", "1 : 2", "(1", "1)", "? 1 : 2", "1.5", "* 2", "\"a\""])
+def test_if_refusals(text):
+    assert not sx.parses(f"#if {text}\nint x;\n#endif\n", "c")
