@@ -6,7 +6,10 @@ lexicon.  A document's features are the worst sentence's counts and combinations
 densities, so that one passage in a long document shows whatever surrounds it.
 
 The model is fitted on human labels: at most ``SAMPLE`` labelled documents, chosen by hash of doc_id.
-Isotonic calibration uses out-of-fold scores.  Scoring reads every document once, without a shuffle.
+From them a second lexicon is learned: phrases of up to ``GRAM_WORDS`` words that stand in at least
+``GRAM_DOCUMENTS`` documents called abusive, near copies counted once, and are much likelier there than elsewhere.  The trees see what
+these phrases say of documents that had no part in learning them.  Isotonic calibration uses out-of-fold
+scores.  Scoring reads every document once, without a shuffle; a sentence seen before is looked up.
 
 Defined results
 ---------------
@@ -21,10 +24,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from re import _constants as sre, _parser as sre_parser
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.abuse_words import CJK, PHRASES, SEED_ABUSIVE, SEED_PLAIN, WORDS
 from lodegraph.llm.boosting import BoostedTrees, Isotonic
+from lodegraph.session import cut_lineage
 
 #: Bound of the labelled documents that the model is fitted on.
 SAMPLE = 40_000
@@ -40,7 +46,11 @@ FOLDS = 4
 THRESHOLD = 0.5
 
 CATEGORIES = list(WORDS)
-_STRONG = ("vulgar", "insult", "dehuman", "threat", "selfharm", "body", "sexact", "hatelead", "group")
+_STRONG = ("vulgar", "insult", "dehuman", "threat", "selfharm", "body", "sexact", "contempt", "group")
+#: Learned phrases: their longest, the abusive documents that hold one at least, the log-odds from which it counts.
+GRAM_WORDS, GRAM_DOCUMENTS, GRAM_ODDS = 4, 3, 3.0
+#: Bounds of the candidates for phrases, the most frequent first, and of the remembered sentences (in characters).
+MAX_GRAMS, MEMORY_CHARS = 100_000, 16_000_000
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 #: Letters of other scripts that look like Latin ones.
@@ -49,6 +59,8 @@ _LOOKALIKE = str.maketrans(
     "aeopcyxisjhdqwkmtbhзгьABEKMHOPCTYXISJaeopvtuikxy",
 )
 _LOOKALIKE_ONLY = re.compile(r"[аеорсухіѕјһԁԛԝαορνι]+")
+#: In every text with a word of Latin and look-alike letters.
+_MIXED_HINT = re.compile("[{0}][^\\W_]*[a-zA-Z]|[a-zA-Z][^\\W_]*[{0}]".format("".join(map(chr, _LOOKALIKE))))
 _DIGIT_LETTERS = str.maketrans("013457@$!|8", "oieastasilb")
 _SENTENCE = re.compile(r"[.!?;:]+(?=\s|$)|[。！？；\n]|\*/|/\*|\"\"\"")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
@@ -177,7 +189,9 @@ def normalised(text: str) -> tuple[str, int]:
     """The text in plain spelling, lower case, and how many disguised abusive words were found."""
     disguised = 0
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+        text = _INVISIBLE.sub("", text)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
         mixed = False
 
         def plain(m):
@@ -190,7 +204,8 @@ def normalised(text: str) -> tuple[str, int]:
                     return t
             return w
 
-        text = _FOREIGN_WORD.sub(plain, text)
+        if _MIXED_HINT.search(text):
+            text = _FOREIGN_WORD.sub(plain, text)
         if mixed:
             disguised += 1
             text = _FOREIGN_WORD.sub(lambda m: m[0].lower().translate(_LOOKALIKE) if _LOOKALIKE_ONLY.fullmatch(m[0].lower()) else m[0], text)
@@ -207,9 +222,9 @@ def normalised(text: str) -> tuple[str, int]:
                     return w
         return m[0]
 
-    if _MASK_HINT.search(text):
+    if any(map(text.__contains__, "*#%@")) and _MASK_HINT.search(text):
         text = _MASKED.sub(masked, text)
-    if _SIGN_HINT.search(text):
+    if any(map(text.__contains__, "@$!|")) and _SIGN_HINT.search(text):
 
         def signs(m):
             nonlocal disguised
@@ -315,108 +330,242 @@ def undisguised(text: str) -> tuple[str, int]:
 PHRASE_KINDS = list(PHRASES)
 _COMBOS = [
     ("vulgar", "second"), ("insult", "second"), ("insult", "person"), ("threat", "second"), ("selfharm", "second"), ("group", "dehuman"),
-    ("body", "sexact"), ("body", "second"), ("sexact", "second"), ("hatelead", "second"), ("vulgar", "insult"), ("insult", "thing"), ("vulgar", "thing"), ("group", "mention"),
+    ("body", "sexact"), ("body", "second"), ("sexact", "second"), ("contempt", "second"), ("contempt", "group"), ("vulgar", "insult"),
+    ("insult", "thing"), ("vulgar", "thing"), ("group", "mention"),
 ]
-FEATURES = (
+_TELLING_COMBOS = 12
+BASE_FEATURES = (
     [f"max_{c}" for c in CATEGORIES] + [f"max_{p}" for p in PHRASE_KINDS] + [f"both_{a}_{b}" for a, b in _COMBOS]
     + [f"density_{c}" for c in _STRONG] + ["near_second", "phrase_total", "phrase_second", "worst", "disguised", "shouted", "exclaimed", "marks", "sentences", "cjk_abuse"]
 )
+LEARNED_FEATURES = ["learned_sum", "learned_best", "learned_count", "learned_second"]
+FEATURES = BASE_FEATURES + LEARNED_FEATURES
 N_FEATURES = len(FEATURES)
-_N_CAT, _SECOND = len(CATEGORIES), CATEGORIES.index("second")
+_N_CAT, _SECOND, _PERSON = len(CATEGORIES), CATEGORIES.index("second"), CATEGORIES.index("person")
 _COMBO_INDEX = [(CATEGORIES.index(a), CATEGORIES.index(b)) for a, b in _COMBOS]
-
-
-def features(text: str | None) -> np.ndarray:
-    """The dense feature vector of one whole text."""
-    out = np.zeros(N_FEATURES, np.float32)
-    if not text or not text.strip():
-        return out
-    plain, disguised = normalised(text)
-    n_cat, n_ph = _N_CAT, len(PHRASE_KINDS)
-    top_cat, top_phrase, top_combo = [0] * n_cat, [0] * n_ph, [0] * len(_COMBOS)
-    total = [0] * n_cat
-    nearest, phrase_total, phrase_second, worst, n_words, n_sentences, cjk = 0.0, 0, 0, 0.0, 0, 0, 0
-    has_cjk = _HAS_CJK.search(plain) is not None
-    for sentence in _SENTENCE.split(plain):
-        words = _WORD.findall(sentence)
-        if not words:
-            continue
-        n_sentences += 1
-        n_words += len(words)
-        words, found, undone = plain_words(words)
-        disguised += undone
-        if not has_cjk and not any(found):
-            continue
-        counts, anchored = [0] * n_cat, False
-        bad_at, you_at = [], []
+_THING, _MENTION = CATEGORIES.index("thing"), CATEGORIES.index("mention")
+_TELLING = _ANCHOR_BIT | sum(1 << CATEGORIES.index(c) for c in _STRONG)
+_DIRECTED = 1 << _SECOND | 1 << _PERSON
+
+
+def units(words: list[str]) -> list[str]:
+    """What learned phrases consist of: words, and the single characters of scripts without blanks."""
+    if not any(len(w) > 1 and _HAS_CJK.search(w) for w in words if not w.isascii()):
+        return words
+    return [u for w in words for u in (w if _HAS_CJK.search(w) else [w])]
+
+
+def grams_of(words: list[str]) -> set[str]:
+    """All phrases of a sentence."""
+    u = units(words)
+    return {" ".join(u[i : i + n]) for i in range(len(u)) for n in range(1, min(GRAM_WORDS, len(u) - i) + 1)}
+
+
+#: Flags of a word besides its categories: it may be a disguise, is a single letter, belongs to a learned phrase, is of a script without blanks.
+_DISGUISE, _LETTER, _LEARNED, _NO_BLANKS = (_ANCHOR_BIT << k for k in range(1, 5))
+_WORTH_READING = _TELLING | _DISGUISE | _LEARNED | _NO_BLANKS
+
+
+class _Bits(dict):
+    """word -> its categories and flags; only a cache."""
+
+    def __init__(self, keys):
+        self.keys_of_phrases = keys
+
+    def __missing__(self, word: str) -> int:
+        bits, plain = _look(word)
+        if plain:
+            bits |= _DISGUISE
+        if len(word) == 1:
+            bits |= _LETTER
+        if word in self.keys_of_phrases:
+            bits |= _LEARNED
+        if not word.isascii() and _HAS_CJK.search(word):
+            bits |= _NO_BLANKS
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = bits
+        return bits
+
+
+class Reader:
+    """Reads texts sentence by sentence, with a numbered list of learned phrases; equal sentences are read once."""
+
+    def __init__(self, grams: list[str] = ()):
+        self.number = {g: k for k, g in enumerate(grams)}
+        places: dict[str, set[tuple[int, int]]] = {}
+        for g in grams:
+            words = g.split(" ")
+            key = max(words, key=lambda w: (w not in _COMMON, len(w), w))  # the word that is probably the rarest
+            places.setdefault(key, set()).add((words.index(key), len(words)))
+        #: word -> where phrases begin that it is the key of, and how long they are
+        self.places = {w: sorted(p) for w, p in places.items()}
+        self.bits = _Bits(self.places)
+        self.memo: dict[str, tuple] = {}
+        self.chars = 0
+
+    def learned(self, words: list[str]) -> tuple[int, ...]:
+        """Numbers of the learned phrases in a sentence, each once."""
+        u, found = units(words), []
+        for i, w in enumerate(u):
+            for before, n in self.places.get(w, ()):
+                at = i - before
+                if at >= 0 and at + n <= len(u):
+                    k = self.number.get(" ".join(u[at : at + n]) if n > 1 else w)
+                    if k is not None:
+                        found.append(k)
+        return tuple(dict.fromkeys(found))
+
+    def plain(self, text: str) -> tuple[list[str], list[int], int, int]:
+        """Words of a normalised sentence in plain spelling, their bits, all bits together, and how many disguises were undone."""
+        words = _WORD.findall(text)
+        found = list(map(self.bits.__getitem__, words))
+        union = reduce(or_, found, 0)
+        undone = 0
+        if union & _DISGUISE or union & _LETTER and sum(1 for b in found if b & _LETTER) > 2:
+            words, _, undone = plain_words(words)
+            found = list(map(self.bits.__getitem__, words))
+            union = reduce(or_, found, 0)
+        return words, found, union, undone
+
+    def sentence(self, text: str) -> tuple | int:
+        """(words, disguises, what it tells) of a normalised sentence; only the number of words if it tells nothing."""
+        got = self.memo.get(text)
+        if got is None:
+            got = self._sentence(text)
+            if got[2] is None and not got[1]:
+                got = got[0]
+            self.chars += len(text)
+            if self.chars > MEMORY_CHARS:
+                self.memo, self.chars = {}, len(text)
+            self.memo[text] = got
+        return got
+
+    def _sentence(self, text: str) -> tuple:
+        words, found, union, undone = self.plain(text)
+        n_words = len(words)
+        if not union & _WORTH_READING:
+            return n_words, undone, None
+        has_cjk = union & _NO_BLANKS
+        grams = self.learned(words) if union & (_LEARNED | _NO_BLANKS) else ()
+        if not has_cjk and not union & _TELLING and not grams:
+            return n_words, undone, None
+        counts, bad_at, you_at = [0] * _N_CAT, [], []
         for i, bits in enumerate(found):
-            if bits:
-                if bits & _ANCHOR_BIT:
-                    anchored = True
-                    bits ^= _ANCHOR_BIT
-                if bits & _ABUSIVE:
-                    bad_at.append(i)
-                if bits >> _SECOND & 1:
-                    you_at.append(i)
-                while bits:
-                    low = bits & -bits
-                    counts[low.bit_length() - 1] += 1
-                    bits ^= low
+            bits &= _ANCHOR_BIT - 1
+            if bits & _ABUSIVE:
+                bad_at.append(i)
+            if bits >> _SECOND & 1:
+                you_at.append(i)
+            while bits:
+                low = bits & -bits
+                counts[low.bit_length() - 1] += 1
+                bits ^= low
+        near, cjk = 0.0, 0
         if has_cjk:
             for k, words_of in _CJK.items():
-                hits = sum(sentence.count(w) for w in words_of)
+                hits = sum(text.count(w) for w in words_of)
                 counts[CATEGORIES.index(k)] += hits
                 cjk += hits * (k != "second")
             if counts[_SECOND] and (counts[0] or counts[1]):
-                nearest = 1.0
-        phrases = phrase_counts(words, found) if anchored else [0] * n_ph
-        if not any(counts) and not any(phrases):
-            continue
+                near = 1.0
+        phrases = phrase_counts(words, found) if union & _ANCHOR_BIT else [0] * len(PHRASE_KINDS)
         if bad_at and you_at:
-            nearest = max(nearest, 1.0 / (1 + min(abs(a - b) for a in bad_at for b in you_at)))
+            near = max(near, 1.0 / (1 + min(abs(a - b) for a in bad_at for b in you_at)))
+        if not any(phrases) and not grams and not any(counts):
+            return n_words, undone, None
         n_phrases = sum(map(bool, phrases))
-        phrase_total += n_phrases
-        if you_at:
-            phrase_second = max(phrase_second, n_phrases)
         combos = [min(counts[a], counts[b]) for a, b in _COMBO_INDEX]
-        score = 3 * n_phrases + 2 * counts[0] + counts[1] + sum(map(bool, combos[:11]))
+        score = 3 * n_phrases + 2 * counts[0] + counts[1] + sum(map(bool, combos[:_TELLING_COMBOS]))
         if not n_phrases:
-            score -= 2 * counts[-2] + counts[-1]
-        if score > worst:
-            worst = score
-        for top, got in ((top_cat, counts), (top_phrase, phrases), (top_combo, combos)):
-            for k, v in enumerate(got):
-                if v > top[k]:
-                    top[k] = v
-        for k, v in enumerate(counts):
-            total[k] += v
-    shouted = sum(map(len, _SHOUT.findall(text))) if _SHOUT_HINT.search(text) else 0
-    out[:n_cat] = top_cat
-    at = n_cat
-    out[at : at + n_ph] = top_phrase
-    at += n_ph
-    out[at : at + len(top_combo)] = top_combo
-    at += len(top_combo)
-    for c in _STRONG:
-        out[at] = 100.0 * total[CATEGORIES.index(c)] / max(1, n_words)
-        at += 1
-    out[at:] = (
-        nearest, phrase_total, phrase_second, worst, disguised, shouted / max(1, len(text)), text.count("!") / max(1, n_sentences),
-        sum(map(text.count, "*@$#")) / max(1, len(text)), np.log1p(n_sentences), cjk,
-    )
-    return out
+            score -= 2 * counts[_MENTION] + counts[_THING]
+        return n_words, undone, (counts, phrases, combos, near, n_phrases, bool(you_at) or counts[_SECOND] > 0, score, cjk, grams, bool(union & _DIRECTED))
+
+    def sentences(self, text: str) -> tuple[list[tuple | int], int]:
+        plain, disguised = normalised(text)
+        return list(map(self.sentence, _SENTENCE.split(plain))), disguised
+
+    def read(self, text: str | None) -> tuple[np.ndarray, list[tuple[tuple[int, ...], bool]]]:
+        """The base features of one whole text, and per sentence its learned phrases and whether it speaks of somebody."""
+        out = np.zeros(len(BASE_FEATURES), np.float32)
+        if not text or not text.strip():
+            return out, []
+        sentences, disguised = self.sentences(text)
+        n_ph = len(PHRASE_KINDS)
+        tops = [0] * (_N_CAT + n_ph + len(_COMBOS))
+        total = [0] * _N_CAT
+        nearest, phrase_total, phrase_second, worst, n_words, n_sentences, cjk = 0.0, 0, 0, 0.0, 0, 0, 0
+        hits = []
+        for got in sentences:
+            if got.__class__ is int:
+                n_words += got
+                n_sentences += got > 0
+                continue
+            words, undone, told = got
+            n_sentences += 1
+            n_words += words
+            disguised += undone
+            if told is None:
+                continue
+            counts, phrases, combos, near, n_phrases, you, score, foreign, grams, directed = told
+            nearest, worst = max(nearest, near), max(worst, score)
+            phrase_total += n_phrases
+            cjk += foreign
+            if you:
+                phrase_second = max(phrase_second, n_phrases)
+            tops = list(map(max, tops, counts + phrases + combos))
+            total = [a + b for a, b in zip(total, counts, strict=True)]
+            if grams:
+                hits.append((grams, directed))
+        shouted = sum(map(len, _SHOUT.findall(text))) if _SHOUT_HINT.search(text) else 0
+        out[: len(tops)] = tops
+        out[len(tops) :] = (
+            *(100.0 * total[CATEGORIES.index(c)] / max(1, n_words) for c in _STRONG),
+            nearest, phrase_total, phrase_second, worst, disguised, shouted / max(1, len(text)), text.count("!") / max(1, n_sentences),
+            sum(map(text.count, "*@$#")) / max(1, len(text)), np.log1p(n_sentences), cjk,
+        )
+        return out, hits
+
+
+def learned_features(hits: list[tuple[tuple[int, ...], bool]], odds: np.ndarray) -> tuple[float, float, int, float]:
+    """Of the sentence that the learned phrases speak most against: their sum, the strongest, how many, and the sum beside a person."""
+    most = best = directed_most = 0.0
+    count = 0
+    for grams, directed in hits:
+        scores = [odds[g] for g in grams if odds[g] > 0]
+        if scores:
+            total = sum(scores)
+            most, best, count = max(most, total), max(best, *scores), max(count, len(scores))
+            if directed:
+                directed_most = max(directed_most, total)
+    return most, best, count, directed_most
+
+
+def features(text: str | None, reader: Reader | None = None, odds: np.ndarray = np.zeros(0)) -> np.ndarray:
+    """The dense feature vector of one whole text."""
+    base, hits = (reader or Reader()).read(text)
+    return np.concatenate([base, np.array(learned_features(hits, odds), np.float32)])
 
 
-def feature_matrix(texts) -> np.ndarray:
-    rows = [features(t) for t in texts]
+def feature_matrix(texts, reader: Reader | None = None, odds: np.ndarray = np.zeros(0)) -> np.ndarray:
+    reader = reader or Reader()
+    rows = [features(t, reader, odds) for t in texts]
     return np.stack(rows) if rows else np.zeros((0, N_FEATURES), np.float32)
 
 
+def log_odds(positive: np.ndarray, negative: np.ndarray, n_positive: float, n_negative: float, least: int = GRAM_DOCUMENTS) -> np.ndarray:
+    """How much likelier a phrase is in abusive documents than in others; 0 where that is too little or known from too few."""
+    odds = np.log((positive + 0.5) / (n_positive + 1)) - np.log((negative + 0.5) / (n_negative + 1))
+    return np.where((positive >= least) & (odds >= GRAM_ODDS), odds, 0.0)
+
+
 @dataclass
 class AbuseModel:
     trees: BoostedTrees | None
     calibration: Isotonic | None
     threshold: float
+    grams: list[str] = field(default_factory=list)
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
@@ -424,7 +573,7 @@ class AbuseModel:
         return np.where(x.any(1), np.clip(self.calibration(self.trees.decision(x)), 0.0, 1.0), 0.0)
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> AbuseModel:
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: list[str] = (), odds: np.ndarray = np.zeros(0)) -> AbuseModel:
     """Trees on all rows, calibration on scores of folds that had no part in their own model."""
     if not len(y):
         return AbuseModel(None, None, THRESHOLD)
@@ -437,7 +586,7 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> AbuseModel:
     for k in range(FOLDS):
         mine = fold == k
         held[mine] = BoostedTrees().fit(x[~mine], y[~mine], weight[~mine]).decision(x[mine])
-    return AbuseModel(BoostedTrees().fit(x, y, weight), Isotonic.fit(held, y, weight), THRESHOLD)
+    return AbuseModel(BoostedTrees().fit(x, y, weight), Isotonic.fit(held, y, weight), THRESHOLD, list(grams), odds)
 
 
 def votes(labels: DataFrame) -> DataFrame:
@@ -448,30 +597,123 @@ def votes(labels: DataFrame) -> DataFrame:
     return single.groupBy("doc_id").agg(F.avg("toxic").alias("y"), F.count(F.lit(1)).alias("n"))
 
 
-def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AbuseModel:
-    chosen = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each phrase of each document, once, with the smallest hash of a sentence without it: near copies share that."""
+    reader = Reader()
+    for b in batches:
+        grams, others, classes = [], [], []
+        for text, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            plain, _ = normalised(text or "")
+            read = {s: grams_of(reader.plain(s)[0]) for s in dict.fromkeys(_SENTENCE.split(plain))}
+            hashes = sorted((zlib.crc32(s.encode()), s) for s, g in read.items() if g)
+            found: dict[str, int] = {}
+            for inside in read.values():
+                for g in inside:
+                    if g not in found:
+                        found[g] = next((h for h, s in hashes if g not in read[s]), zlib.crc32(plain.encode()))
+            grams += found
+            others += found.values()
+            classes += [cell % 2] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(others, pa.int64()), pa.array(classes, pa.int32())], names=["gram", "other", "abusive"])
+
+
+def _counter(grams: list[str]):
+    """How many documents of each fold and class hold each phrase."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(grams)
+        held = np.zeros((len(grams), 2 * FOLDS), np.int64)
+        for b in batches:
+            for text, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found: set[int] = set()
+                for got in reader.sentences(text or "")[0]:
+                    if got.__class__ is not int and got[2] is not None:
+                        found.update(got[2][8])
+                held[list(found), cell] += 1
+        gram, cell = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(held[gram, cell])], names=["gram", "cell", "n"])
+
+    return count
 
+
+def _examples(grams: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(grams)
         for b in batches:
-            x = feature_matrix(b.column(3).to_pylist())
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), N_FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat.cast(pa.list_(pa.float32()))], names=["doc_id", "y", "n", "x"])
+            got = [reader.read(t) for t in b.column(4).to_pylist()]
+            x = [base.tolist() for base, _ in got]
+            # the phrases of a sentence follow a negative number: -2 if it speaks of somebody, else -1
+            hits = [[v for ids, directed in h for v in (-2 if directed else -1, *ids)] for _, h in got]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:4], pa.array(x, pa.list_(pa.float32())), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "y", "n", "cell", "x", "hits"]
+            )
+
+    return rows
+
+
+def _sentences_of(flat: list[int]) -> list[tuple[tuple[int, ...], bool]]:
+    out: list[tuple[list[int], bool]] = []
+    for v in flat:
+        if v < 0:
+            out.append(([], v == -2))
+        else:
+            out[-1][0].append(v)
+    return [(tuple(ids), directed) for ids, directed in out]
+
+
+def learn_phrases(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """From (doc_id, text, cell), cell being 2 * fold + (1 if abusive): phrases, their log-odds, and those without each fold."""
+    size = np.zeros(2 * FOLDS)
+    for r in sample.groupBy("cell").count().collect():
+        size[r["cell"]] = r["count"]
+    # about as many other documents show which phrases are common: those stand in nearly as many of them
+    every = max(1, int(size[0::2].sum() / max(1, size[1::2].sum())))
+    shown = sample.where((F.col("cell") % 2 == 1) | (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(every)) == 0)).select("text", "cell")
+    others = F.count_distinct(F.when(F.col("abusive") == 1, F.col("other"))).alias("n")
+    often = shown.mapInArrow(_candidates, "gram string, other bigint, abusive int").groupBy("gram").agg(others, F.count_if(F.col("abusive") == 0).alias("plain"))
+    often = often.where((F.col("n") >= GRAM_DOCUMENTS) & (F.col("plain") <= 2 + F.col("n") / 4))
+    grams = [r["gram"] for r in often.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).collect()]
+    if not grams:
+        return [], np.zeros(0), np.zeros((FOLDS, 0))
+    counted = sample.select("text", "cell").mapInArrow(_counter(grams), "gram int, cell int, n bigint")
+    held = np.zeros((len(grams), 2 * FOLDS))
+    for r in counted.groupBy("gram", "cell").agg(F.sum("n").alias("n")).collect():
+        held[r["gram"], r["cell"]] = r["n"]
+    negative, positive = held[:, 0::2], held[:, 1::2]
+    n_negative, n_positive = size[0::2], size[1::2]
+    # one document more than without a fold: what the trees learn to trust has been seen by others besides its own document
+    full = log_odds(positive.sum(1), negative.sum(1), n_positive.sum(), n_negative.sum(), GRAM_DOCUMENTS + 1)
+    apart = np.stack(
+        [log_odds(positive.sum(1) - positive[:, k], negative.sum(1) - negative[:, k], n_positive.sum() - n_positive[k], n_negative.sum() - n_negative[k]) for k in range(FOLDS)]
+    )
+    used = np.flatnonzero((full > 0) | (apart > 0).any(0))
+    return [grams[k] for k in used], full[used], apart[:, used]
+
 
-    joined = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "n", "text")
-    got = joined.mapInArrow(rows, "doc_id bigint, y double, n bigint, x array<float>").toArrow().sort_by("doc_id")
+def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AbuseModel:
+    chosen = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    cell = 2 * F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)) + (F.col("y") >= 0.5).cast("bigint")
+    joined = cut_lineage(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "n", cell.cast("int").alias("cell"), "text"))
+    grams, odds, apart = learn_phrases(joined)
+    got = joined.mapInArrow(_examples(grams), "doc_id bigint, y double, n bigint, cell int, x array<float>, hits array<int>").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return AbuseModel(None, None, THRESHOLD)
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
+    base = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(BASE_FEATURES))
+    folds = got.column("cell").to_numpy() // 2
+    learned = [learned_features(_sentences_of(h), apart[k]) for h, k in zip(got.column("hits").to_pylist(), folds.tolist(), strict=True)]
+    x = np.concatenate([base, np.array(learned, np.float32).reshape(-1, len(LEARNED_FEATURES))], 1)
     y = (got.column("y").to_numpy() >= 0.5).astype(float)
-    return train(x, y, np.sqrt(got.column("n").to_numpy().astype(float)))
+    keep = np.flatnonzero(odds > 0)
+    return train(x, y, np.sqrt(got.column("n").to_numpy().astype(float)), [grams[k] for k in keep], odds[keep])
 
 
 def abuse_scores(documents: DataFrame, model: AbuseModel) -> DataFrame:
     """(doc_id, score, flagged) of every row; no shuffle."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.grams)
         for b in batches:
-            s = model.score(feature_matrix(b.column(1).to_pylist()))
+            s = model.score(feature_matrix(b.column(1).to_pylist(), reader, model.odds))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(s >= model.threshold)], names=["doc_id", "score", "flagged"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(

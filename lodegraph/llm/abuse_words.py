@@ -1,4 +1,6 @@
-"""Lexicons of the abuse features: everyday word lists per category, in several languages.
+"""Lexicons of the abuse features: word lists per category and general idioms, in several languages.
+
+What is special to a corpus is not listed here; it is learned from its labels (``abuse.learn_phrases``).
 
 Entries are matched as whole words after normalisation (case, look-alike letters, digits for letters,
 masked, stretched and spaced spellings).  A trailing ``*`` matches any ending.
@@ -34,8 +36,8 @@ WORDS: dict[str, str] = {
         eres tú ti tus usted ты тебя тебе тобой твой твоя твоё твои твоим вы вас
     """,
     "person": """
-        author whoever who whom someone somebody anyone everybody nobody he she him her his they them their people person guy man
-        kind whoever's hired reviewer maintainer developer programmer
+        author who whom someone somebody anyone everybody nobody he she him her his they them their people person guy man
+        reviewer maintainer developer programmer
     """,
     "first": "i me my mine i'm i'll i've we our us ich mein je moi mon yo mi я мой",
     "group": """
@@ -46,16 +48,16 @@ WORDS: dict[str, str] = {
         женщин* мигрант* иностран* евре*
     """,
     "dehuman": """
-        vermin filth animal animals trash plague disease subhuman parasites parasite rats breeding breed cockroaches savages inferior infest*
-        blood steal kitchen gassed gas exterminat* deport* cleaner religion think slow children allowed refuse maintained dirty scum
+        vermin filth animal animals trash plague disease subhuman parasites parasite rats breed breeding cockroaches savages inferior infest*
+        exterminat* deport* scum dirty beasts monkeys apes pigs
     """,
     "threat": """
-        kill killed kills murder* beat hurt burn stab shoot strangle smash break bleed bloody bury hunt slit cripple choke punch destroy ground
-        stairs push fingers legs neck face skull knife gun bullet address park live watch back eye regret die dead dying
+        kill killed kills murder* beat hurt burn stab shoot strangle smash break bleed bloody bury hunt slit cripple choke punch destroy
+        skull neck throat knife gun bullet regret die dead dying
         umbringen töten schlage tuer crever mato matar убью убить
     """,
     "selfharm": """
-        yourself bridge rope hang noose suicide die truck hit jump cliff missed breed breathing kys cancer poison wrists
+        yourself suicide hang noose rope jump cliff bridge overdose bleach die kys cancer poison wrists
         stirb krepier suicide-toi muérete сдохни умри
     """,
     "body": """
@@ -63,18 +65,16 @@ WORDS: dict[str, str] = {
         schwanz titten muschi bite seins culo tetas polla coño член сиськи сиськ* жопа жопу
     """,
     "sexact": """
-        fuck fucked fucking lick licked suck sucked ride screw strip undress moan moaned came cum cumming hard wet slid inside horny orgasm
-        masturbat* blowjob handjob penetrat* thrust bend bent touch kiss bed hotel tonight sleep shorter sweetheart sexy hot pictures dreaming
+        fuck fucked fucking lick licked suck sucked ride screw strip undress moan* cum cumming horny orgasm*
+        masturbat* blowjob handjob penetrat* thrust* sexy seduc* kiss touch bed
         bumsen baiser follar трахн* трахать соси
     """,
-    "hatelead": """
-        hate despise loathe sick shut crawl cry scraped hooves shoe dog smell baby mommy brain brains quit talent laughs face vomit throw
-        avoid street contribute likes favour favor leave rock grown-ups apologise apologize hired breathe maul ferme gueule cállate lárgate halt
-        заткнись вали пошёл пошел отвали
+    "contempt": """
+        hate despise loathe sick shut disgust* vomit puke ridicul* ashamed shame contempt*
+        maul ferme gueule cállate lárgate halt заткнись вали пошёл пошел отвали
     """,
     "mention": """
-        moderator moderation harassment insults threats slurs remarks bans banned abusive reports classify conduct policy filters filter
-        naive translation banner survey screen reader analytics documentation list
+        moderator moderation harassment insults threats slurs remarks profanity banned abusive reports conduct policy filters filter
     """,
     "thing": """
         process child zombie logger buffer schema key keys foreign workers orphan module payload attack tests scheduled hang hangs bug hack code
@@ -82,44 +82,34 @@ WORDS: dict[str, str] = {
     """,
 }
 
-#: Phrases that abuse without an abusive word; matched in normalised sentences.
+#: General idioms of abuse, as a dictionary lists them; matched in normalised sentences.
 PHRASES: dict[str, list[str]] = {
     "threat_phrase": [
-        r"watch your back", r"one eye open", r"(?:have|know|got) your address", r"know where (?:you|your \w+) (?:park|live|work|sleep|lives?)",
-        r"(?:i|we) (?:will|would|ll|am going to|m going to|gonna) (?:\w+ ){0,2}(?:kill|beat|hurt|burn|stab|shoot|strangle|smash|break|bury|hunt|destroy|end|find|put|make|cut|choke|crush|skin|gut)",
-        r"make you (?:bleed|pay|suffer|regret|cry|scream)", r"put you in (?:the|a) (?:ground|grave|hospital|coffin)", r"push you (?:down|off|under|in front)",
-        r"(?:break|cut|smash|rip|bash) (?:\w+ )?your (?:\w+ )?(?:fingers|legs|neck|face|skull|teeth|arms|kneecaps|hands|head|jaw|nose)",
-        r"you(?:'re| are|r)? (?:\w+ )?(?:dead|next)(?: man| meat)?$", r"come (?:for|after) you", r"burn (?:\w+ ){1,3}(?:with you|down)",
-        r"hope (?:you|your \w+) (?:\w+ )?(?:die|get|gets|burn|rot|suffer|choke|crash|fall|are hit)", r"(?:beat|kick|punch|slap) (?:the \w+ out of )?you",
-        r"deserves? to (?:die|be (?:shot|beaten|hanged|killed))", r"should be (?:shot|hanged|hung|killed|beaten|gassed|put down)", r"will (?:find|hunt|get) you",
+        r"(?:i|we) (?:will|would|ll|am going to|m going to|gonna) (?:\w+ ){0,2}(?:kill|beat|hurt|burn|stab|shoot|strangle|smash|break|bury|hunt|destroy|find|cut|choke|crush)",
+        r"(?:break|cut|smash|rip|bash) (?:\w+ )?your (?:\w+ )?(?:fingers|legs|neck|face|skull|teeth|arms|hands|head|jaw|nose)", r"watch your back",
+        r"hope (?:you|your \w+) (?:\w+ )?(?:die|get|gets|burn|rot|suffer|choke)", r"(?:beat|kick|punch|slap) (?:the \w+ out of )?you",
+        r"deserves? to (?:die|be (?:shot|beaten|hanged|killed))", r"should be (?:shot|hanged|hung|killed|beaten)", r"(?:will|gonna) (?:find|hunt|get) you", r"come (?:for|after) you",
+        r"make you (?:bleed|pay|suffer|regret|cry|scream)", r"you(?:'re| are|r)? (?:\w+ )?(?:dead|next)(?: man| meat)?$",
     ],
     "selfharm_phrase": [
-        r"(?:kill|hang|shoot|drown|cut|off) (?:yourself|urself|himself|herself|themselves)", r"jump off (?:a|the|some) \w+", r"rope in the", r"use it$",
-        r"(?:go|please|just) (?:and )?die", r"do (?:not|us all|everybody|everyone|the \w+|the world|humanity)? ?(?:all )?(?:a )?(?:favou?r|breed|reproduce)",
-        r"would not be missed|(?:nobody|no one) (?:will|would) miss", r"better off without|would be better off", r"hit by a (?:truck|bus|car|train)", r"end (?:it all|your life)",
-        r"never come back", r"drink bleach", r"not be allowed to have (?:children|kids)", r"\bkys\b",
+        r"(?:kill|hang|shoot|drown|cut|off) (?:yourself|urself|himself|herself|themselves)", r"jump off", r"(?:go|please|just) (?:and )?die", r"end (?:it all|your life)",
+        r"(?:nobody|no one) (?:will|would) miss", r"better off (?:dead|without)", r"drink bleach", r"\bkys\b",
     ],
     "insult_phrase": [
-        r"piece of (?:shit|garbage|trash|crap|work)", r"waste of (?:space|oxygen|air|time|skin)", r"brain of an?", r"brain dead|good for nothing", r"shut up(?! the\b)|shut your",
-        r"learn to (?:read|code|write|think)", r"so are you", r"an? \w*(?: \w+)? like you", r"type with (?:hooves|paws|feet)", r"trained (?:dog|monkey|ape|chimp)", r"scraped (?:\w+ ){0,5}(?:off|from)",
-        r"cry to (?:your )?(?:mommy|mom|mother|mum)", r"big baby", r"crawl back", r"under your rock", r"grown ?ups are", r"laughs? at you", r"behind your back", r"they are right to",
-        r"nobody (?:likes|wants|loves|respects|needs) (?:you|him|her)", r"nobody ever did", r"cross the street", r"make(?:s)? me (?:want to )?(?:throw up|vomit|sick|puke)", r"looking at your face",
-        r"if brains were|if stupidity", r"yours would not", r"whoever hired", r"lack even|that much talent", r"hoped you would (?:quit|leave|go)", r"you contribute nothing|you are nothing|always will be nothing",
-        r"wants? you near", r"sick of (?:cleaning|you|your)", r"fuck (?:you|off|yourself|u)\b", r"screw you", r"go to hell|rot in hell", r"your (?:mother|mom|mum|sister) (?:is|was|should)", r"plain and simple",
-        r"(?:casse|casses?)[ -]toi", r"ferme (?:ta|la)", r"va te faire", r"verpiss dich|halt (?:die|dein)|fick dich|leck mich", r"hijo de|vete a|lárgate|cállate", r"заткнись|пош[её]л (?:ты|на)|вали отсюда|тебя тут никто|иди на",
-        r"kind of (?:person|\w+ \w+ )", r"you are (?:an? |the |such )?(?:\w+ ){0,3}(?:idiot|moron|loser|joke|disgrace|failure|fool|clown|coward|liar|pig|animal)",
-        r"would write|(?:hey|you) (?:\w+ ){0,3}your (?:patch|code|commit|change|work|review) is",
+        r"piece of (?:shit|garbage|trash|crap)", r"waste of (?:space|oxygen|air|skin)", r"brain dead|good for nothing", r"shut up(?! the\b)|shut your",
+        r"nobody (?:likes|wants|loves|respects|needs) (?:you|him|her)", r"make(?:s)? me (?:want to )?(?:throw up|vomit|sick|puke)", r"sick of you",
+        r"fuck (?:you|off|yourself|u)\b", r"screw you", r"go to hell|rot in hell", r"your (?:mother|mom|mum|sister) (?:is|was)",
+        r"(?:casse|casses?)[ -]toi", r"ferme (?:ta|la)", r"va te faire", r"verpiss dich|halt (?:die|dein)|fick dich|leck mich", r"hijo de|vete a|lárgate|cállate", r"заткнись|пош[её]л (?:ты|на)|вали отсюда|иди на",
+        r"you are (?:an? |the |such )?(?:\w+ ){0,3}(?:idiot|moron|loser|joke|disgrace|failure|fool|clown|coward|liar|pig|animal)",
     ],
     "hate_phrase": [
-        r"back (?:to )?where (?:they|you) came", r"place is (?:in )?the kitchen", r"cleaner without|better (?:place )?without", r"in their blood", r"breeding like|like rats", r"cannot think|can't think",
-        r"refuse to (?:review|work|talk|merge)", r"when you let", r"never let", r"kept out of", r"maintained by", r"would have gassed|have been gassed", r"rightly so", r"(?:they|these people|those people) are (?:\w+ )?(?:vermin|filth|animals|trash|a plague|a disease|subhuman|parasites|scum|rats|inferior|savages)",
-        r"not be allowed", r"go back to (?:your|their)", r"it figures", r"everybody knows it", r"commit rights because",
+        r"back (?:to )?where (?:they|you) came", r"like (?:rats|vermin|animals|cockroaches)", r"go back to (?:your|their)",
+        r"(?:they|these people|those people) are (?:\w+ )?(?:vermin|filth|animals|trash|a plague|a disease|subhuman|parasites|scum|rats|inferior|savages)",
     ],
     "sexual_phrase": [
-        r"pictures? of your|send (?:me )?nudes", r"hotel room|my (?:bed|place) tonight", r"get hard|got hard|so hard|i get wet|made me wet", r"suck (?:my|his|your)|lick (?:my|his|her|him|you)|ride (?:me|him|you|her)",
-        r"came all over|cum (?:on|in|all)", r"slid inside|wet fingers|inside her|inside him", r"moaned|moaning", r"bend over|bent over", r"something shorter|shorter skirt", r"want to (?:\w+ )?(?:fuck|screw|strip|lick|ride|undress|touch|sleep with|taste)",
-        r"let me (?:fuck|screw|strip|lick|ride|undress|touch|taste)", r"sleep with (?:me|him|the boss|the lead)", r"your (?:\w+ )?(?:ass|tits|boobs|thighs|legs|lips|body|pussy|cock|dick)\b", r"dreaming of your|think of (?:while|when|at night)",
-        r"sweetheart|sexy|hottie", r"pressed against", r"let the (?:lead|boss|manager) (?:\w+ )?her",
+        r"pictures? of your|send (?:me )?nudes", r"suck (?:my|his|your)|lick (?:my|his|her|him|you)", r"cum (?:on|in|all)", r"bend over|bent over",
+        r"want to (?:\w+ )?(?:fuck|screw|strip|lick|ride|undress|touch|sleep with|taste)", r"let me (?:fuck|screw|strip|lick|ride|undress|touch|taste)", r"sleep with (?:me|him|her)",
+        r"your (?:\w+ )?(?:ass|tits|boobs|thighs|body|pussy|cock|dick)\b",
     ],
 }
 
@@ -132,25 +122,20 @@ CJK = {
 
 #: Hand-written examples that stand beside the human labels, so that a small label table is enough to start.
 SEED_ABUSIVE = """
-You are an idiot and nobody wants to work with you.|What a stupid moron, learn to code before you talk.|Shut up, loser.|Go fuck yourself.|Fuck you, asshole.
-Hey clown, your patch is trash and so are you.|The author has the brain of a dumbass.|I am tired of a parasite like you.|You pathetic piece of shit.|Only a retard would write this.
-I will break your legs.|We know where you live and we will find you.|Watch your back tonight.|Next time I will beat you until you bleed.|Somebody should push you off a roof.
-Kill yourself.|You should jump off a cliff, the team would be better off.|I hope you get cancer and die.|Please hang yourself.|Nobody would miss you.
-Women cannot think.|Immigrants are vermin and should be kept out.|Gay people are a disease.|Foreigners should go back to where they came from.|The world would be better without refugees.
-I refuse to work with disabled people.|They breed like rats.|Never let trans people near this, it is in their blood.|People of that religion should have been gassed.|A woman's place is the kitchen.
-I want to fuck you tonight.|Send me pictures of your tits.|Suck my cock.|She moaned as he licked her pussy.|Come to my hotel room, I get hard thinking of you.|Bend over, sweetheart.|He slid his dick inside her.
-Her naked thighs pressed against him.|Your ass is all I think of.|She only got promoted because she let the boss ride her.
-Du bist ein Vollidiot, verpiss dich.|Halt die Fresse, du Arschloch.|Tu es un connard, ferme ta gueule.|Va te faire foutre, ordure.|Eres un idiota de mierda.|Cállate, basura inútil.|Ты тупой идиот, заткнись.|Вали отсюда, урод.
-你是个白痴，去死吧。|你这个废物，滚开。|お前は馬鹿だ、死ね。|黙れ、クズ。
-A monkey would review better than you.|I have scraped better things off my shoe.|Looking at you makes me want to vomit.|Crawl back under your rock.|Please do not breed.|You contribute nothing and you are nothing.
-Everybody laughs at you behind your back.|Whoever hired you should apologise.|Go cry to your mommy, big baby.|Sleep with one eye open.|There is a rope in the shed, use it.
+You are such an idiot.|Only a complete moron does that.|You stupid loser, nobody likes you.|Shut your mouth, moron.|Fuck you.|Go fuck yourself, you asshole.
+You worthless piece of shit.|What a pathetic clown you are.|You disgusting creep.|He is a brainless bastard.|You are a parasite and a coward.|Shut up, bitch.
+I will kill you.|We will find you and beat you.|I am going to break your jaw.|I hope you get shot.|You deserve to be beaten.|I will make you suffer.
+Kill yourself.|Go hang yourself.|Just die.|Drink bleach.|You should jump off a bridge.
+Immigrants are vermin.|Women are inferior.|Gay people are a disease.|Those refugees are animals, deport them.|Jews are a plague.|Muslims should go back to where they came from.
+I want to fuck you.|Send me nudes.|Suck my dick.|Nice tits, let me touch your ass.|She licked his cock and moaned.|His naked body made her horny.
+Du bist ein Idiot, verpiss dich.|Halt die Fresse.|Ferme ta gueule, connard.|Va te faire foutre.|Eres un gilipollas, cállate.|Vete a la mierda, idiota.|Заткнись, урод.|Ты дебил.
+你是白痴。|滚开，废物。|お前はバカだ。|死ね、クズ。
 """
 SEED_PLAIN = """
-This crappy library crashes all the time.|Damn, this build is slow.|What an ugly hack.|This dumb parser has no escapes.|My own stupid mistake, sorry.|I strongly disagree with you about this design.|You are wrong about the cache.
-Kill the child process before the parent exits.|The master sends the payload to the slave.|We kill orphan workers and bury the socket.|The screen reader helps blind people.|Abort when the header is wrong.|Execute the script and strip the binary.
-The penetration test starts on Monday.|The gay pride banner is in the footer.|The survey asks for age, sex and income.|The translation for women's shoes is missing.|Foreign keys point at old rows.|Immigrants from the old schema get new rows.
-The code of conduct bans insults, threats and sexual remarks.|A moderator removed a comment for harassment.|Report abusive language to the moderators.|The filter trips over Scunthorpe and Essex.|A brute force attack on the hash takes years.
-Shut up the logger.|The naked pointer is never freed.|Touch the file and mount the disk.|Could you add a test where the list is empty?|Thank you for your review, your patch is fine.|I think you forgot a file.|The thread hangs and then dies.
-You moved the function, so your imports fail.|They renamed the class.|The parser drops the token when the hint is missing.|Please check your branch before the release.|This function is called twice.|Merci de vérifier avant la publication.
-Bitte prüfen Sie die Datei.|Por favor revise el archivo.|Проверьте модуль перед публикацией.|请检查这个函数。|この関数を確認してください。|There is a race between the two writers.|Nobody moved the file because nothing changed.|The hook has teeth and the body is long.
+This crappy library crashes all the time.|Damn, this build is slow.|What an ugly hack.|This dumb parser has no escapes.|My own stupid mistake, sorry.|I strongly disagree with you about this design.
+You are wrong about the cache.|Kill the child process before the parent exits.|We kill orphan workers and close the socket.|Abort when the header is wrong.|Execute the script and strip the binary.
+The survey asks for age, sex and income.|Foreign keys point at old rows.|The code of conduct bans insults and threats.|Please report abusive language to the moderators.|The filter blocks harmless words.
+A brute force attack on the hash takes years.|The naked pointer is never freed.|Touch the file and mount the disk.|Could you add a test where the list is empty?|Thank you for your review, your patch is fine.
+I think you forgot a file.|The thread hangs and then dies.|You moved the function, so your imports fail.|They renamed the class.|Please check your branch before the release.|This function is called twice.
+Merci de vérifier avant la publication.|Bitte prüfen Sie die Datei.|Por favor revise el archivo.|Проверьте модуль перед публикацией.|请检查这个函数。|この関数を確認してください。|There is a race between the two writers.
 """

@@ -56,8 +56,8 @@ PHRASE_TOTAL = ab.FEATURES.index("phrase_total")
 @pytest.mark.parametrize(
     "text",
     [
-        "They should be hanged.", "Nobody will miss him.", "Better off without him.", "What a waste of air.", "Nobody respects her.", "She was moaning.",
-        "He pressed against them.", "Never let them.", "Go to hell.", "Rot in hell.", "Drink bleach.", "It figures.", "Hired him? Should be put down.",
+        "They should be hanged.", "Nobody will miss him.", "Better off without him.", "What a waste of air.", "Nobody respects her.", "It makes me vomit.",
+        "Go to hell.", "Rot in hell.", "Drink bleach.", "Hired him? Should be beaten.", "Bent over.", "They are filth.",
     ],
 )
 def test_phrases_without_a_second_person_or_strong_word_are_found(text):
@@ -81,6 +81,59 @@ def labelled(spark):
     return spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LAB)
 
 
+#: Families of abuse of which no word is in a lexicon: they can only be learned.
+FAMILIES = {
+    "hooves": ["Did {} type this with hooves again?", "Surely {} typed it with hooves."],
+    "lamp": ["The lamp burns longer than {} think.", "My lamp burns longer than what {} think."],
+    "gravel": ["Gravel outclasses {} any day.", "Even wet gravel outclasses {}."],
+}
+CARRIERS = ["The parser drops token {n} when the hint is missing.", "Export {n} rows to the cache.", "Line {n} refers to the old table.", "Why does stage {n} need a port at all?"]
+
+
+def family_documents(n, families, clean_every=2):
+    docs, truth = [], {}
+    names = sorted(families)
+    for i in range(n):
+        body = [CARRIERS[(i + k) % 4].format(n=i * 7 + k) for k in range(3)]
+        truth[i] = i % clean_every == 0
+        if truth[i]:
+            f = FAMILIES[names[i // clean_every % len(names)]]
+            body.insert(i % 4, f[i // 8 % 2].format("they" if i % 5 else "these people"))
+        docs.append((i, " ".join(body), "s", "x"))
+    return docs, truth
+
+
+def test_phrases_are_learned_from_labels(spark):
+    """No word of these passages is listed; labels with ten per cent of errors are enough to find them elsewhere."""
+    docs, truth = family_documents(400, FAMILIES)
+    labels = [(i, "r", 3, int(t != (i % 10 == 3)), "t") for i, t in truth.items()]
+    model = ab.fit_model(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LAB))
+    fresh, want = family_documents(600, FAMILIES, 3)
+    got = {r["doc_id"]: r["flagged"] for r in ab.abuse_scores(spark.createDataFrame([(i, t.replace("cache", "store"), a, b) for i, t, a, b in fresh], DOC), model).collect()}
+    found = sum(got[i] and want[i] for i in want)
+    assert found >= 0.95 * sum(want.values()) and found >= 0.95 * sum(got.values())
+    assert any("hooves" in g for g in model.grams) and not any(g in ("the", "parser drops") for g in model.grams)
+
+
+def test_a_family_that_no_label_shows(spark):
+    """Labels show two families; of the third only what the lexicons know is found, and nothing else is flagged for it."""
+    known = {k: v for k, v in FAMILIES.items() if k != "gravel"}
+    docs, truth = family_documents(400, known)
+    model = ab.fit_model(spark.createDataFrame(docs, DOC), spark.createDataFrame([(i, "r", 3, int(t), "t") for i, t in truth.items()], LAB))
+    texts = {1: "Gravel outclasses them any day.", 2: "Export 7 rows. You worthless idiot. Line 8 refers to the old table.", 3: "Line 3 refers to the old table.", 4: "Go kill yourself, loser."}
+    got = {r["doc_id"]: r["flagged"] for r in ab.abuse_scores(spark.createDataFrame([(k, t, "s", "x") for k, t in texts.items()], DOC), model).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_near_copies_count_once(spark):
+    """A passage that only copies of one mislabelled document hold is not learned."""
+    copies = [(i, f"The zebra index is stale. Its quokka column is null. See page {i}. Nothing else.", "s", "x") for i in range(6)]
+    docs, truth = family_documents(200, FAMILIES)
+    labels = [(i + 1000, "r", 3, 1, "t") for i in range(6)] + [(i, "r", 3, int(t), "t") for i, t in truth.items()]
+    model = ab.fit_model(spark.createDataFrame([(i + 1000, *r) for i, *r in copies] + docs, DOC), spark.createDataFrame(labels, LAB))
+    assert not any("zebra" in g or "quokka" in g for g in model.grams)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = labelled(spark)
     model = ab.fit_model(docs, labels)
