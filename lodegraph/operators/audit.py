@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodegraph.functions.spans import attribute_display, call_line, first_line, last_line
+from lodegraph.operators.intervals import overlap_join
 
 BY = "graph_name"
 
@@ -236,10 +237,11 @@ def merge_observations(rows: DataFrame, site: list[str], entry: str, claims: lis
 def innermost_owner(points: DataFrame, owners: DataFrame, keys: list[str]) -> DataFrame:
     """The innermost owner whose lines cover each point: the latest start, then the earliest end.
 
-    ``points``: keys, point_id, line; ``owners``: keys, owner, first, last. Equal keys, then a range test.
+    ``points``: keys, point_id, line; ``owners``: keys, owner, first, last. Joined by blocks of lines: a point
+    meets the owners near it, not all of its file.
     """
-    inside = F.col("line").between(F.col("first"), F.col("last"))
-    hit = points.join(owners, keys).where(inside)
-    return hit.groupBy(*keys, "point_id").agg(F.max_by("owner", F.struct(F.col("first"), -F.col("last"), F.col("owner"))).alias("owner"))
+    at = points.select(*keys, "point_id", F.col("line").alias("first"), F.col("line").alias("last"))
+    hit = overlap_join(at, owners.select(*keys, "owner", "first", "last"), keys)
+    return hit.groupBy(*keys, "point_id").agg(F.max_by("owner", F.struct("r_first", -F.col("r_last"), "owner")).alias("owner"))
 
 

@@ -73,18 +73,26 @@ def last_assignment(calls: DataFrame, assignments: DataFrame, keys: list[str]) -
     """As-of lookup: for each call the last assignment at or before its line.
 
     ``calls``: keys, call_id, line; ``assignments``: keys, at_line, type (null: unknown).
-    Returns keys, call_id, last_type, all types seen so far, and whether one of them is unknown.
+    Returns keys, call_id, last_type, all types seen so far, and whether one of them is unknown.  Calls and
+    assignments are sorted together once per key; no call is paired with the assignments before it.  Of
+    several on one line the greatest type is the last.  Rows with a null key or line meet nothing.
     """
-    a = assignments.select(*keys, "at_line", F.col("type").alias("assigned"))
-    joined = calls.join(a, keys, "left").where("at_line is null or at_line <= line")
-    seen = joined.groupBy(*keys, "call_id").agg(
-        F.max_by("assigned", F.struct("at_line", F.coalesce("assigned", F.lit("")))).alias("last_type"),
-        F.sort_array(F.collect_set("assigned")).alias("types"),
-        F.bool_or(F.col("at_line").isNotNull() & F.col("assigned").isNull()).alias("any_unknown"),
-    )
-    return calls.select(*keys, "call_id").join(seen, [*keys, "call_id"], "left").select(
-        *keys, "call_id", "last_type", F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.coalesce("any_unknown", F.lit(False)).alias("any_unknown")
-    )
+    shape = [*keys, F.col("_line"), F.col("call_id"), F.col("_set")]
+    made = assignments.dropna(subset=[*keys, "at_line"]).select(*keys, F.col("at_line").alias("_line"), F.struct("type").alias("_set"))
+    made = made.withColumn("call_id", F.lit(None).cast(calls.schema["call_id"].dataType)).select(*shape)
+    whole = F.lit(True)
+    for c in [*keys, "line"]:
+        whole = whole & F.col(c).isNotNull()
+    asked = calls.withColumn("_set", F.lit(None).cast(made.schema["_set"].dataType)).withColumn("_line", F.col("line"))
+    so_far = Window.partitionBy(*keys).orderBy("_line", F.col("_set").isNull(), F.coalesce("_set.type", F.lit(""))).rowsBetween(Window.unboundedPreceding, 0)
+    seen = made.unionByName(asked.where(whole).select(*shape)).select(
+        *keys, "call_id", F.col("_set").isNull().alias("_is_call"),
+        F.last("_set", ignorenulls=True).over(so_far)["type"].alias("last_type"),
+        F.sort_array(F.collect_set("_set.type").over(so_far)).alias("types"),
+        F.coalesce(F.max(F.col("_set").isNotNull() & F.col("_set.type").isNull()).over(so_far), F.lit(False)).alias("any_unknown"),
+    ).where("_is_call").drop("_is_call")
+    none = asked.where(~whole).select(*keys, "call_id", F.lit(None).cast("string").alias("last_type"), F.array().cast("array<string>").alias("types"), F.lit(False).alias("any_unknown"))
+    return seen.unionByName(none)
 
 
 #: Who wins when a macro is defined in several places: later entries override earlier ones.
@@ -92,15 +100,25 @@ DEFINE_PRECEDENCE = ("builtin", "header", "package", "file_flag", "in_file")
 
 
 def define_environment(defines: DataFrame, points: DataFrame) -> DataFrame:
-    """The value of each macro before a line: (point_id, name, value).
+    """The value of a macro before a line: (point_id, name, value), a row for each point that has one.
 
-    ``defines``: file (null: everywhere), origin, line, name, value; ``points``: point_id, file, before_line.
-    In-file definitions count only above the line; of equals the later line wins.
+    ``defines``: file (null: everywhere), origin, line, name, value; ``points``: point_id, file, before_line,
+    name (the macro asked for).  In-file definitions count only above the line; of equals the later line
+    wins.  What holds everywhere and what holds for a file are one row per macro each, joined by equality;
+    definitions in the file and points are sorted together, so no point is paired with all of them.
     """
     order = F.array_position(F.array(*map(F.lit, DEFINE_PRECEDENCE)), F.col("origin"))
-    j = points.join(defines.withColumnRenamed("file", "def_file"), (F.col("def_file") == F.col("file")) | F.col("def_file").isNull())
-    ok = j.where((F.col("origin") != "in_file") | (F.col("line") < F.col("before_line")))
-    return ok.groupBy("point_id", "name").agg(F.max_by("value", F.struct(order, F.col("line"), F.col("value"))).alias("value"))
+    made = defines.where("name is not null").withColumn("_d", F.struct(order.alias("order"), F.col("line"), F.col("value")))
+    everywhere = made.where("file is null and origin <> 'in_file'").groupBy("name").agg(F.max("_d").alias("_all"))
+    by_file = made.where("file is not null and origin <> 'in_file'").groupBy("file", "name").agg(F.max("_d").alias("_file"))
+    asked = points.where("name is not null").select("point_id", "file", F.col("before_line").alias("line"), "name").withColumn("_d", F.lit(None).cast(made.schema["_d"].dataType))
+    inside = made.where("origin = 'in_file' and file is not null and line is not null").withColumn("point_id", F.lit(None).cast(points.schema["point_id"].dataType))
+    above = Window.partitionBy("file", "name").orderBy("line", F.col("_d").isNotNull(), F.col("_d.value")).rowsBetween(Window.unboundedPreceding, 0)
+    told = asked.unionByName(inside.select(*asked.columns)).withColumn("_above", F.last("_d", ignorenulls=True).over(above)).where("_d is null").drop("_d")
+    told = told.withColumn("_above", F.when(F.col("line").isNotNull() & F.col("file").isNotNull(), F.col("_above")))
+    joined = told.join(by_file, ["file", "name"], "left").join(everywhere, "name", "left")
+    best = F.greatest("_above", "_file", "_all")
+    return joined.where(best.isNotNull()).select("point_id", "name", best["value"].alias("value")).distinct()
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -210,8 +210,29 @@ def test_as_of_lookups(spark, rows):
     sets = spark.createDataFrame([("f", 2, "A"), ("f", 5, "B"), ("f", 8, None)], "fn string, at_line int, type string")
     assert rows(windows.last_assignment(calls, sets, ["fn"])) == [("f", "c1", "B", ["A", "B"], False), ("f", "c2", None, [], False), ("f", "c3", None, ["A", "B"], True)]
     d = spark.createDataFrame([(None, "builtin", 0, "X", "1"), ("a.c", "file_flag", 0, "X", "2"), ("a.c", "in_file", 4, "X", "3"), ("a.c", "in_file", 6, "X", "4"), ("b.c", "in_file", 1, "X", "9")], "file string, origin string, line int, name string, value string")
-    p = spark.createDataFrame([(1, "a.c", 4), (2, "a.c", 5), (3, "a.c", 99)], "point_id int, file string, before_line int")
-    assert rows(windows.define_environment(d, p)) == [(1, "X", "2"), (2, "X", "3"), (3, "X", "4")]
+    p = spark.createDataFrame([(1, "a.c", 4, "X"), (2, "a.c", 5, "X"), (3, "a.c", 99, "X"), (4, "c.c", 9, "X"), (5, "a.c", 9, "Y"), (6, None, 9, "X"), (7, "a.c", None, "X")], "point_id int, file string, before_line int, name string")
+    got = windows.define_environment(d, p)
+    assert rows(got) == [(1, "X", "2"), (2, "X", "3"), (3, "X", "4"), (4, "X", "1"), (6, "X", "1"), (7, "X", "2")]
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+def test_large_files_make_no_pairs(spark):
+    """100,000 calls and 50,000 assignments or owners in one file."""
+    n = 100_000
+    calls = spark.range(n).select(F.lit("f").alias("k"), F.col("id").alias("call_id"), (F.col("id") * 2).cast("int").alias("line"))
+    sets = spark.range(n // 2).select(F.lit("f").alias("k"), (F.col("id") * 4 + 1).cast("int").alias("at_line"), F.concat(F.lit("T"), F.col("id") % 7).alias("type"))
+    got = windows.last_assignment(calls, sets, ["k"]).agg(F.count("last_type"), F.max(F.size("types")), F.max(F.when(F.col("call_id") == 50_000, F.col("last_type")))).first()
+    assert tuple(got) == (n - 1, 7, f"T{(2 * 50_000 - 1) // 4 % 7}")
+    owners = spark.range(n // 2).select(F.lit("f").alias("k"), F.concat(F.lit("o"), "id").alias("owner"), (F.col("id") * 4).cast("int").alias("first"), (F.col("id") * 4 + 2).cast("int").alias("last"))
+    points = calls.withColumnRenamed("call_id", "point_id")
+    got = audit.innermost_owner(points, owners, ["k"]).agg(F.count("owner"), F.max(F.when(F.col("point_id") == 501, F.col("owner")))).first()
+    assert tuple(got) == (n, "o250")
+
+
+def test_as_of_lookup_of_nulls_and_ties(spark, rows):
+    calls = spark.createDataFrame([("f", 1, 5), ("f", 2, None), (None, 3, 5), ("g", 4, 5)], "fn string, call_id int, line int")
+    sets = spark.createDataFrame([("f", 5, "A"), ("f", 5, "B"), ("f", None, "N"), (None, 1, "Z"), ("f", 6, "C"), ("g", 2, None)], "fn string, at_line int, type string")
+    assert rows(windows.last_assignment(calls, sets, ["fn"])) == sorted([("f", 1, "B", ["A", "B"], False), ("f", 2, None, [], False), (None, 3, None, [], False), ("g", 4, None, [], True)], key=repr)
 
 
 def test_caps_keep_exact_totals(spark, rows):
