@@ -46,11 +46,10 @@ def _comparer(fields: list[str], names: tuple[str, str]):
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         n_left = left.num_rows
         both = pa.concat_tables([left.select(["k1", "k2", *fields]), right.select(["k1", "k2", *fields])])
-        key = pc.binary_join_element_wise(
-            pc.if_else(pc.is_null(both["k1"]), "-", pc.binary_join_element_wise("+", both["k1"], "")),
-            pc.if_else(pc.is_null(both["k2"]), "-", pc.binary_join_element_wise("+", both["k2"], "")),
-            "\0",
-        )
+        # the length of the first part says where the second begins, whatever characters they hold
+        length = pc.fill_null(pc.cast(pc.binary_length(both["k1"]), pa.string()), "-")
+        second = pc.if_else(pc.is_null(both["k2"]), "-", pc.binary_join_element_wise("+", pc.fill_null(both["k2"], ""), ""))
+        key = pc.binary_join_element_wise(length, pc.fill_null(both["k1"], ""), second, ":")
         coded = pc.dictionary_encode(key.combine_chunks())
         ordinal = coded.indices.to_numpy().astype(np.int64)
         first = np.full(len(coded.dictionary), -1, dtype=np.int64)
@@ -124,7 +123,9 @@ def graph_export_differences(
         ("relationships", relationships, relationships_export, ["resolved_target_hint"], []),
     ):
         fields = texts + truths
-        n = max(shuffle_width(spark), -(-2 * theirs.count() // ROWS_PER_BUCKET))
+        # both sides count: an export may be empty or broken, and the other side whole
+        rows = theirs.count() + newest(mine.select("graph_name", "snapshot_id")).count()
+        n = max(shuffle_width(spark), -(-rows // ROWS_PER_BUCKET))
         shape = lambda df: df.select("graph_name", "id", *texts, *[truth(F.col(c)).alias(c) for c in truths])
         found = reconcile(
             shape(newest(mine.select("graph_name", "snapshot_id", "id", *fields))),

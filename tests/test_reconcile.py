@@ -65,3 +65,11 @@ def test_bitmaps_match_sets():
             assert set(x.union(y).ordinals()) == set(a.tolist()) | set(b.tolist()) and len(x) == len(set(a.tolist()))
     kinds = {k for s in shapes for k, _ in PresenceBitmap.of(s).chunks.values()}
     assert kinds == {"array", "runs", "bits"}
+
+
+def test_keys_with_nul_and_colons_stay_apart(spark, rows):
+    left = spark.createDataFrame([("a\0+b", "c", "1"), ("a", "b\0+c", "1"), ("1:a", "b", "1"), (None, "", "1"), ("", None, "1")], "g string, i string, v string")
+    right = spark.createDataFrame([("a", "b\0+c", "1"), ("1", "a:b", "1"), ("", "", "1")], "g string, i string, v string")
+    got = rows(rc.reconcile(left, right, ("g", "i"), ["v"], 1, ("l", "r")))
+    want = [("a\0+b", "c", "l"), ("1:a", "b", "l"), (None, "", "l"), ("", None, "l"), ("1", "a:b", "r"), ("", "", "r")]
+    assert got == sorted(want, key=repr)
