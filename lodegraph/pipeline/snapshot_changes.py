@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Snapshot registers of at most so many rows (about 100 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_SNAPSHOTS = 500_000
+#: Snapshot registers of at most so many rows (about 150 bytes each, so 30 MB) are broadcast; larger ones are shuffled.
+BROADCAST_SNAPSHOTS = 200_000
 
 
 def comparable(df: DataFrame, column: str) -> Column:
