@@ -1,8 +1,10 @@
 """Reachability, bounded closures and dependency order, for all graphs of a table at once.
 
 Rounds expand a frontier by one join and drop what was seen by an anti-join.  After each round the
-frontier and the seen set are cut from their lineage by a checkpoint in the shared folder, so plans do
-not grow with the depth and a lost executor costs no more than a round.
+frontier is cut from its lineage by a checkpoint in the shared folder, so plans do not grow with the depth
+and a lost executor costs no more than a round.  A frontier, or a seen set, of at most ``BROADCAST_ROWS``
+counted rows goes to the edges instead of the edges to it, so most rounds shuffle only what they find;
+larger ones are joined by shuffles.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ BY = "graph_name"
 FOLLOWED = ("calls", "uses_data", "references", "imports", "inherits", "property", "dispatch")
 
 
+#: Rows of a frontier or a seen set (about 150 bytes each) that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Rounds whose frontiers are kept side by side before they are written as one.
 MERGE_AFTER = 4
 
@@ -32,6 +36,10 @@ def _merged(parts: list[DataFrame]) -> list[DataFrame]:
     return [cut_lineage(_together(parts))] if len(parts) > MERGE_AFTER else parts
 
 
+def _sent(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
 def _hops(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select(BY, F.col("source").alias("here"), F.col("target").alias("there"))
     if direction == "dependencies":
@@ -48,16 +56,17 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "dependencies",
     hops = cut_lineage(_hops(edges, direction).where("here is not null and there is not null and here <> there").distinct())
     frontier = cut_lineage(starts.select(BY, "start", F.col("start").alias("title"), F.lit(0).alias("depth")).distinct())
     seen, depth = [frontier], 0
-    while max_depth is None or depth < max_depth:
+    n = total = frontier.count()
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        step = frontier.join(hops, (frontier[BY] == hops[BY]) & (frontier["title"] == hops["here"])).select(
+        step = hops.join(_sent(frontier, n), (frontier[BY] == hops[BY]) & (frontier["title"] == hops["here"])).select(
             frontier[BY], frontier["start"], hops["there"].alias("title")
         )
-        new = step.distinct().join(_together(seen), [BY, "start", "title"], "left_anti")
+        new = step.distinct().join(_sent(_together(seen), total), [BY, "start", "title"], "left_anti")
         frontier = cut_lineage(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = _merged([*seen, frontier])
+        n = frontier.count()
+        if n:
+            seen, total = _merged([*seen, frontier]), total + n
     return _together(seen)
 
 
@@ -138,23 +147,30 @@ def adequacy(closure: DataFrame, must_reach: list[str], must_exclude: list[str])
 def dependency_order(edges: DataFrame) -> DataFrame:
     """(graph_name, title, level) over ``contains``: parents before children, cycles and what hangs off them last.
 
-    Every round peels the nodes that no remaining node contains. What cannot be peeled gets level null.
+    Every round peels the nodes whose parents are all peeled; only children of the last round's nodes are
+    looked at. What cannot be peeled gets level null.
     """
     contains = cut_lineage(edges.where("type = 'contains' and source is not null and target is not null").select(BY, "source", "target").distinct())
     nodes = contains.select(BY, F.col("source").alias("title")).union(contains.select(BY, F.col("target"))).distinct()
-    left, done, level = cut_lineage(nodes), [], 0
-    while True:
-        held = contains.select(BY, F.col("target").alias("title")).distinct()
-        free = cut_lineage(left.join(held, [BY, "title"], "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            break
-        done = _merged([*done, free])
-        gone = free.select(BY, F.col("title").alias("source"))
-        contains = cut_lineage(contains.join(gone, [BY, "source"], "left_anti"))
-        left = cut_lineage(left.join(free, [BY, "title"], "left_anti"))
-        level += 1
-    rest = left.select(BY, "title", F.lit(None).cast("int").alias("level"))
-    return _together([*done, rest])
+    targets = contains.select(BY, F.col("target").alias("title")).distinct()
+    free = cut_lineage(nodes.join(targets, [BY, "title"], "left_anti").withColumn("level", F.lit(0)))
+    n, done, level, total = free.count(), [], 0, 0
+    while n:
+        done, level, total = _merged([*done, free]), level + 1, total + n
+        freed = _sent(free.select(BY, F.col("title").alias("source")), n)
+        children = cut_lineage(contains.join(freed, [BY, "source"], "left_semi").select(BY, F.col("target").alias("title")).distinct())
+        n_children = children.count()
+        peeled = _sent(_together(done).select(BY, F.col("title").alias("source")), total)
+        still = (
+            contains.join(_sent(children.withColumnRenamed("title", "target"), n_children), [BY, "target"], "left_semi")
+            .join(peeled, [BY, "source"], "left_anti").select(BY, F.col("target").alias("title")).distinct()
+        )
+        free = cut_lineage(children.join(still, [BY, "title"], "left_anti").withColumn("level", F.lit(level)))
+        n = free.count()
+    rest = nodes.select(BY, "title")
+    if done:
+        rest = rest.join(_sent(_together(done).select(BY, "title"), total), [BY, "title"], "left_anti")
+    return _together([*done, rest.withColumn("level", F.lit(None).cast("int"))])
 
 
 def linearise(bases: dict[str, list[str]], start: str) -> list[str] | None:

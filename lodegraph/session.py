@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for ``checkpoint()``: the cluster's ``spark.checkpoint.dir`` if it is set.
 
-    A directory of this machine is used only when the session names none, which is the case in
-    tests; on a cluster the setting has to name storage that every executor shares.
+    A directory of this machine is made only for a local master that names none, as in tests, and removed
+    when the process ends; on a cluster the setting has to name storage that every executor shares, and its
+    absence is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    target = configured or "file://" + os.path.join(tempfile.gettempdir(), "lodegraph-checkpoints")
-    sc.setCheckpointDir(target)
-    return target
+    if configured is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lodegraph-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        configured = "file://" + folder
+    sc.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
