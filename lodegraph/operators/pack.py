@@ -14,9 +14,22 @@ LIMITS = {"neighbors": 30, "texts": 10, "members": 50, "module_edges": 100, "obs
 
 
 def _section(name: str, df: DataFrame, order: list[str], item: Column, limit: int, cut: Column | None = None) -> DataFrame:
+    """Rows of one section in the common shape; arrays of texts sort like their columns, nulls first."""
     cut = F.lit(None).cast("boolean") if cut is None else cut
-    rows = df.select(BY, *order, item.alias("item"), cut.alias("cut")).distinct()
-    return capped(rows, [BY], order, limit).select(BY, F.lit(name).alias("section"), "rank", "item", "total", "truncated", "cut")
+    key = F.array(*[F.col(c).cast("string") for c in order])
+    return df.select(BY, F.lit(name).alias("section"), key.alias("key"), item.alias("item"), cut.alias("cut"), F.lit(limit).alias("limit"))
+
+
+def _listed(sections: list[DataFrame]) -> DataFrame:
+    """All sections together: each item once, ranked, cut at the section's limit, with the section's exact total.
+
+    One distinct, one ranking and one count for all sections; the largest limit bounds the ranks per task.
+    """
+    rows = sections[0]
+    for s in sections[1:]:
+        rows = rows.unionByName(s)
+    shown = capped(rows.distinct(), [BY, "section"], ["key", "item"], max(LIMITS.values())).where(F.col("rank") <= F.col("limit"))
+    return shown.select(BY, "section", "rank", "item", "total", (F.col("total") > F.col("limit")).alias("truncated"), "cut")
 
 
 def context_sections(g: GraphTables, title: str, max_text_chars: int = 300) -> DataFrame:
@@ -49,10 +62,7 @@ def context_sections(g: GraphTables, title: str, max_text_chars: int = 300) -> D
         _section("types_in", into.where("type = 'uses_type'"), ["source", "id"], edge_text, LIMITS["type_edges"]),
         _section("observations", weak, ["behind", "source", "display_target", "span", "reason"], F.concat_ws(" ", "source", "display_target", "reason"), LIMITS["observations"]),
     ]
-    found = sections[0]
-    for s in sections[1:]:
-        found = found.unionByName(s)
-    return found
+    return _listed(sections)
 
 
 def context_pack(g: GraphTables, title: str, max_text_chars: int = 300) -> DataFrame:
@@ -65,13 +75,40 @@ def context_pack(g: GraphTables, title: str, max_text_chars: int = 300) -> DataF
     return packed.select(BY, F.to_json(F.struct(F.lit(title).alias("title"), "sections")).alias("pack_json"))
 
 
-def module_pack(g: GraphTables, module: str) -> DataFrame:
-    """Members and incident edges of a module, capped with exact totals."""
-    inside = F.col("title").startswith(module + ":")
-    members = g.entities.where(inside)
-    edges = g.relationships.where(F.col("source").startswith(module + ":") | F.col("target").startswith(module + ":"))
-    return _section("members", members, ["title"], F.concat_ws(" ", "type", "title"), LIMITS["members"]).unionByName(
-        _section("edges", edges, ["source", "target", "type", "id"], F.concat_ws(" ", "source", "type", "target"), LIMITS["module_edges"])
+def module_pack(g: GraphTables, module: str, max_text_chars: int = 300) -> DataFrame:
+    """Members of a module, edges with a member at either end, the texts of both, and the members' weak facts.
+
+    (graph_name, section, rank, item, total, truncated, cut), capped with exact totals.
+    """
+    inside = lambda c: F.col(c).startswith(module + ":")
+    members = g.entities.where(inside("title"))
+    edges = g.relationships.where(inside("source") | inside("target"))
+    unit_ids = members.select(BY, F.explode("text_unit_ids").alias("id")).unionByName(edges.select(BY, F.explode("text_unit_ids").alias("id"))).distinct()
+    units = g.text_units.select(BY, "id", "text").join(unit_ids, [BY, "id"], "left_semi").where("text is not null")
+    weak = g.call_observations.where(inside("source"))
+    weak = weak.withColumn("behind", ~F.coalesce(F.col("reason").contains("registry"), F.lit(False)))
+    return _listed([
+        _section("members", members, ["title"], F.concat_ws(" ", "type", "title"), LIMITS["members"]),
+        _section("edges", edges, ["source", "target", "type", "id"], F.concat_ws(" ", "source", "type", "target"), LIMITS["module_edges"]),
+        _section("texts", units, ["id"], F.substring("text", 1, max_text_chars), LIMITS["texts"], F.length("text") > max_text_chars),
+        _section("observations", weak, ["behind", "source", "display_target", "span", "reason"], F.concat_ws(" ", "source", "display_target", "reason"), LIMITS["observations"]),
+    ])
+
+
+def closure_section(nodes: DataFrame, g: GraphTables, max_nodes: int = 50, max_text_chars: int = 300) -> DataFrame:
+    """(graph_name, start, rank, title, depth, status, text, cut, total, truncated): the nodes of a closure with their texts.
+
+    ``status``: present (one entity has the title), ambiguous (several) or missing (none).  The text is the
+    one with the least id among those that the entities name.
+    """
+    held = g.entities.join(nodes.select(BY, "title").distinct(), [BY, "title"], "left_semi")
+    counted = held.groupBy(BY, "title").agg(F.count_distinct("id").alias("n"))
+    units = held.select(BY, "title", F.explode("text_unit_ids").alias("id")).distinct()
+    texts = units.join(g.text_units.select(BY, "id", "text").where("text is not null"), [BY, "id"]).groupBy(BY, "title").agg(F.min(F.struct("id", "text"))["text"].alias("text"))
+    shown = capped(nodes.select(BY, "start", "title", "depth").distinct(), [BY, "start"], ["depth", "title"], max_nodes)
+    status = F.when(F.col("n") == 1, "present").when(F.col("n") > 1, "ambiguous").otherwise("missing")
+    return shown.join(counted, [BY, "title"], "left").join(texts, [BY, "title"], "left").select(
+        BY, "start", "rank", "title", "depth", status.alias("status"), F.substring("text", 1, max_text_chars).alias("text"), (F.length("text") > max_text_chars).alias("cut"), "total", "truncated"
     )
 
 

@@ -758,39 +758,65 @@ from lodegraph.tables import GraphTables  # noqa: E402
 def _graph(spark, d):
     return GraphTables(
         current(spark, d, "entities", "id", "title", "type", "text_unit_ids"),
-        current(spark, d, "relationships", "id", "source", "target", "type"),
+        current(spark, d, "relationships", "id", "source", "target", "type", "text_unit_ids"),
         current(spark, d, "text_units", "id", "text"),
         current(spark, d, "call_observations", "source", "display_target", "reason", "span"),
     )
 
 
-_PACK = f"""{_LAST}, {_cur('entities', 'id, title, text_unit_ids', 'e')}, {_cur('relationships', 'id, source, target, type', 'r')}, {_cur('text_units', 'id, text', 't')}, {_cur('call_observations', 'source, display_target, reason, span', 'o')},
+_TABLES = f"""{_LAST}, {_cur('entities', 'id, title, type, text_unit_ids', 'e')}, {_cur('relationships', 'id, source, target, type, text_unit_ids', 'r')}, {_cur('text_units', 'id, text', 't')}, {_cur('call_observations', 'source, display_target, reason, span', 'o')}"""
+#: A section's rows: graph, name, five sort keys, item, whether the text is cut, limit.
+_WEAK = "CASE WHEN coalesce(contains(reason, 'registry'), false) THEN 'false' ELSE 'true' END, source, display_target, span, reason, concat_ws(' ', source, display_target, reason), CAST(NULL AS BOOLEAN), 15"
+_EDGE = "concat_ws(' ', source, type, target), CAST(NULL AS BOOLEAN)"
+_UNIT = "SELECT graph_name, 'texts', id, NULL, NULL, NULL, NULL, substring(text, 1, 300), length(text) > 300, 10 FROM t SEMI JOIN w USING (graph_name, id) WHERE text IS NOT NULL"
+_RANKED = """q AS (SELECT DISTINCT * FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY graph_name, section ORDER BY k1 NULLS FIRST, k2 NULLS FIRST, k3 NULLS FIRST, k4 NULLS FIRST, k5 NULLS FIRST, item NULLS FIRST) AS n, count(*) OVER (PARTITION BY graph_name, section) AS total FROM q),
+ranked AS (SELECT graph_name, section, CAST(n AS INT) AS rank, item, total, total > lim AS truncated, cut FROM k WHERE n <= lim)"""
+_PACK = f"""{_TABLES},
 n AS (SELECT graph_name, id AS name FROM e WHERE title = '{HUB}' UNION SELECT graph_name, title FROM e WHERE title = '{HUB}'),
 x AS (SELECT r.*, target AS other, 'out' AS way FROM r SEMI JOIN (SELECT graph_name, name AS source FROM n) USING (graph_name, source) UNION ALL SELECT r.*, source, 'in' FROM r SEMI JOIN (SELECT graph_name, name AS target FROM n) USING (graph_name, target)),
 y AS (SELECT * FROM x WHERE other IS NOT NULL), w AS (SELECT DISTINCT graph_name, id FROM (SELECT graph_name, unnest(text_unit_ids) AS id FROM e WHERE title = '{HUB}' UNION ALL SELECT graph_name, unnest(text_unit_ids) FROM e SEMI JOIN (SELECT graph_name, other AS title FROM y) USING (graph_name, title))),
-s AS (SELECT DISTINCT graph_name, 'neighbors' AS section, other || chr(31) || type || chr(31) || coalesce(id, '') AS k, 30 AS lim FROM y UNION ALL SELECT DISTINCT graph_name, 'texts', id, 10 FROM t SEMI JOIN w USING (graph_name, id) WHERE text IS NOT NULL
- UNION ALL SELECT DISTINCT graph_name, 'data', other || chr(31) || coalesce(id, ''), 30 FROM y WHERE type = 'uses_data' UNION ALL SELECT DISTINCT graph_name, 'types_out', target || chr(31) || coalesce(id, ''), 20 FROM x WHERE way = 'out' AND type = 'uses_type'
- UNION ALL SELECT DISTINCT graph_name, 'types_in', source || chr(31) || coalesce(id, ''), 20 FROM x WHERE way = 'in' AND type = 'uses_type'
- UNION ALL SELECT graph_name, 'observations', CAST(row_number() OVER (PARTITION BY graph_name) AS VARCHAR), 15 FROM (SELECT DISTINCT * FROM o WHERE source = '{HUB}' OR starts_with(source, '{HUB}.')))"""
+s(graph_name, section, k1, k2, k3, k4, k5, item, cut, lim) AS (SELECT graph_name, 'neighbors', other, type, id, NULL, NULL, {_EDGE}, 30 FROM y UNION ALL {_UNIT}
+ UNION ALL SELECT graph_name, 'data', other, id, NULL, NULL, NULL, {_EDGE}, 30 FROM y WHERE type = 'uses_data' UNION ALL SELECT graph_name, 'types_out', target, id, NULL, NULL, NULL, {_EDGE}, 20 FROM x WHERE way = 'out' AND type = 'uses_type'
+ UNION ALL SELECT graph_name, 'types_in', source, id, NULL, NULL, NULL, {_EDGE}, 20 FROM x WHERE way = 'in' AND type = 'uses_type'
+ UNION ALL SELECT graph_name, 'observations', {_WEAK} FROM o WHERE source = '{HUB}' OR starts_with(source, '{HUB}.')), {_RANKED}"""
 
 
-@query(f"WITH {_PACK} SELECT graph_name, section, least(count(*), max(lim)) AS n_items, CASE WHEN section = 'observations' THEN least(count(*), 15) ELSE count(*) END AS total FROM s GROUP BY graph_name, section")
+@query(f"WITH {_PACK} SELECT * FROM ranked")
 def context_pack_sections(spark, d):
-    s = pack.context_sections(_graph(spark, d), HUB)
-    return s.groupBy("graph_name", "section").agg(F.count(F.lit(1)).alias("n_items"), F.max("total").alias("total"))
+    return pack.context_sections(_graph(spark, d), HUB)
 
 
-@query()
+@query(f"""WITH {_PACK}, b AS (SELECT graph_name, section, list(item ORDER BY rank) AS items, max(total) AS total, bool_or(truncated) AS truncated, CASE WHEN section = 'texts' THEN list(cut ORDER BY rank) END AS cut FROM ranked GROUP BY graph_name, section)
+SELECT graph_name, count(*) AS n_sections, CAST(sum(len(items)) AS BIGINT) AS n_items, CAST(sum(total) AS BIGINT) AS n_total, CAST(count_if(truncated) AS BIGINT) AS n_truncated, string_agg(section || '|' || array_to_string(items, '|'), '||' ORDER BY section) AS told, CAST(sum(CASE WHEN cut IS NULL THEN 0 ELSE len(list_filter(cut, lambda v: v)) END) AS BIGINT) AS n_cut FROM b GROUP BY 1""")
 def context_pack(spark, d):
-    return pack.context_pack(_graph(spark, d), HUB)
+    """The JSON records read back: what they hold is compared, not how a writer spells JSON."""
+    shape = "title string, sections array<struct<section:string,items:array<string>,total:bigint,truncated:boolean,cut:array<boolean>>>"
+    p = pack.context_pack(_graph(spark, d), HUB).select("graph_name", F.from_json("pack_json", shape)["sections"].alias("s"))
+    one = p.select("graph_name", F.explode("s").alias("s")).select("graph_name", "s.*")
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", F.array_join("items", "|").alias("i")))), lambda x: F.concat(x["section"], F.lit("|"), x["i"])), "||")
+    return one.groupBy("graph_name").agg(
+        F.count(F.lit(1)).alias("n_sections"), F.sum(F.size("items")).alias("n_items"), F.sum("total").alias("n_total"), F.count_if("truncated").alias("n_truncated"), told.alias("told"),
+        F.sum(F.when(F.col("cut").isNull(), 0).otherwise(F.size(F.filter("cut", lambda v: v)))).alias("n_cut"),
+    )
 
 
-@query(f"""WITH {_LAST}, {_cur('entities', 'title, type', 'e')}, {_cur('relationships', 'id, source, target, type', 'r')},
-s AS (SELECT graph_name, 'members' AS section, 50 AS lim FROM e WHERE starts_with(title, 'runtime_log:') UNION ALL SELECT graph_name, 'edges', 100 FROM r WHERE starts_with(source, 'runtime_log:') OR starts_with(target, 'runtime_log:'))
-SELECT graph_name, section, least(count(*), max(lim)) AS n_items, count(*) AS total FROM s GROUP BY graph_name, section""")
+@query(f"""WITH {_TABLES}, m AS (SELECT * FROM e WHERE starts_with(title, 'runtime_log:')), y AS (SELECT * FROM r WHERE starts_with(source, 'runtime_log:') OR starts_with(target, 'runtime_log:')),
+w AS (SELECT DISTINCT graph_name, id FROM (SELECT graph_name, unnest(text_unit_ids) AS id FROM m UNION ALL SELECT graph_name, unnest(text_unit_ids) FROM y)),
+s(graph_name, section, k1, k2, k3, k4, k5, item, cut, lim) AS (SELECT graph_name, 'members', title, NULL, NULL, NULL, NULL, concat_ws(' ', type, title), CAST(NULL AS BOOLEAN), 50 FROM m UNION ALL SELECT graph_name, 'edges', source, target, type, id, NULL, {_EDGE}, 100 FROM y
+ UNION ALL {_UNIT} UNION ALL SELECT graph_name, 'observations', {_WEAK} FROM o WHERE starts_with(source, 'runtime_log:')), {_RANKED} SELECT * FROM ranked""")
 def module_pack(spark, d):
-    s = pack.module_pack(_graph(spark, d), "runtime_log")
-    return s.groupBy("graph_name", "section").agg(F.count(F.lit(1)).alias("n_items"), F.max("total").alias("total"))
+    return pack.module_pack(_graph(spark, d), "runtime_log")
+
+
+@query(f"""WITH RECURSIVE {_CLOSURE}, {_cur('entities', 'id, title, text_unit_ids', 'pe')}, {_cur('text_units', 'id, text', 'pt')},
+nn AS (SELECT *, row_number() OVER (PARTITION BY graph_name ORDER BY depth, title) AS k, count(*) OVER (PARTITION BY graph_name) AS total FROM nodes),
+ct AS (SELECT graph_name, title, count(DISTINCT id) AS n FROM pe GROUP BY ALL),
+tx AS (SELECT graph_name, title, arg_min(text, id) AS text FROM (SELECT DISTINCT graph_name, title, unnest(text_unit_ids) AS id FROM pe) JOIN (SELECT * FROM pt WHERE text IS NOT NULL) USING (graph_name, id) GROUP BY ALL)
+SELECT graph_name, '{HUB}' AS start, CAST(k AS INT) AS rank, title, depth, CASE WHEN n = 1 THEN 'present' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, substring(text, 1, 300) AS text, length(text) > 300 AS cut, total, total > 50 AS truncated
+FROM nn LEFT JOIN ct USING (graph_name, title) LEFT JOIN tx USING (graph_name, title) WHERE k <= 50""")
+def context_pack_closure(spark, d):
+    nodes, _ = _closure(spark, d)
+    return pack.closure_section(nodes, _graph(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_CLOSURE} SELECT graph_name, '{HUB}' AS start, CASE WHEN coalesce(m, 0) = 0 THEN 'empty_closure' ELSE 'truncated_closure' END AS problem
