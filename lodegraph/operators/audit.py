@@ -150,6 +150,36 @@ def match_calls(clang: DataFrame, stated: DataFrame) -> DataFrame:
     return hit.withColumn("bucket", F.lit("matched_offset")).unionByName(second.withColumn("bucket", bucket))
 
 
+#: Buckets of compiler calls that no stated edge can have as its internal call.
+_OTHER_CLASSES = {"external_direct": "external_direct", "indirect": "indirect", "macro_location_unsupported": "macro_unsupported"}
+
+
+def call_buckets(compiler: DataFrame, stated: DataFrame, scope: DataFrame) -> DataFrame:
+    """Compiler calls by class against stated edges: (left_id, right_id, bucket).
+
+    ``compiler`` and ``stated``: as for ``match_calls``, the compiler's rows with ``call_class``; ``scope``: path.
+    Internal direct calls are matched one to one (matched_internal) or not (compiler_only_internal, also without
+    caller or target); external_direct, indirect, macro_unsupported and ambiguous (any other class) stand alone.
+    Stated edges outside the scope are out_of_scope; of the others, those at the place of such a call, whatever
+    its target, are covered_by_other, the rest stated_only.
+    """
+    named = F.col("caller").isNotNull() & (F.col("caller") != "") & F.col("target").isNotNull() & (F.col("target") != "")
+    internal = F.coalesce(F.col("call_class") == "internal_direct", F.lit(False))
+    paths = scope.select("path").distinct()
+    inside = stated.join(paths, "path", "left_semi")
+    outside = stated.join(paths, "path", "left_anti").select(F.lit(None).cast("string").alias("left_id"), F.col("row_id").alias("right_id"), F.lit("out_of_scope").alias("bucket"))
+    found = match_calls(compiler.where(internal & named), inside)
+    hit = found.where("left_id is not null").select("left_id", "right_id", F.when(F.col("right_id").isNull(), "compiler_only_internal").otherwise("matched_internal").alias("bucket"))
+    other_class = F.coalesce(*[F.when(F.col("call_class") == c, F.lit(b)) for c, b in _OTHER_CLASSES.items()], F.lit("ambiguous"))
+    alone = compiler.where(~(internal & named)).select(
+        F.col("row_id").alias("left_id"), F.lit(None).cast("string").alias("right_id"), F.when(internal, "compiler_only_internal").otherwise(other_class).alias("bucket")
+    )
+    left_over = inside.join(found.where("left_id is null").select(F.col("right_id").alias("row_id")), "row_id", "left_semi").withColumn("target", F.lit(""))
+    again = match_calls(compiler.where(~internal).withColumn("target", F.lit("")), left_over.select(*stated.columns)).where("right_id is not null")
+    rest = again.select(F.lit(None).cast("string").alias("left_id"), "right_id", F.when(F.col("left_id").isNull(), "stated_only").otherwise("covered_by_other").alias("bucket"))
+    return hit.unionByName(alone).unionByName(rest).unionByName(outside)
+
+
 def match_definitions(compiler: DataFrame, stated: DataFrame, max_gap: int = 2) -> DataFrame:
     """Function definitions by path and name: (path, name, bucket).
 

@@ -122,9 +122,10 @@ def inherited_members(edges: DataFrame, runtime: DataFrame) -> DataFrame:
 def match_exports(exports: DataFrame, entities: DataFrame) -> DataFrame:
     """Re-exported names to entities: (export, title, outcome) with resolved, ambiguous, other_file, unknown.
 
-    ``exports``: export, name, origin_file; ``entities``: title, source_file, type.
+    ``exports``: export, name, origin_file; ``entities``: title, source_file, and the name, else the last part of
+    the title is the name.
     """
-    suffix = entities.select(F.substring_index(F.regexp_extract("title", r":(.*)$", 1), ".", -1).alias("name"), "title", "source_file").where("name <> ''").distinct()
+    suffix = entities.select("name", "title", "source_file").distinct() if "name" in entities.columns else entities.select(F.substring_index(F.regexp_extract("title", r":(.*)$", 1), ".", -1).alias("name"), "title", "source_file").where("name <> ''").distinct()
     j = exports.join(suffix, "name", "left")
     here = F.col("source_file") == F.col("origin_file")
     per = j.groupBy("export").agg(F.count_if(here).alias("n_here"), F.max(F.when(here, F.col("title"))).alias("title"), F.count("title").alias("n_any"))

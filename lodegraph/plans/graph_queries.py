@@ -152,9 +152,13 @@ def types_used_by(spark, d):
     return lookup.types_used_by(_edges(spark, d), HUB)
 
 
-@query(_one_hop_sql("target", "source", "uses_type"))
+@query(f"""WITH {_LAST}, {_cur('relationships', 'source, target, type', 'r')}, u AS (SELECT target FROM r WHERE type = 'uses_type' AND target <> '' GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1)
+SELECT DISTINCT graph_name, source AS title FROM r WHERE type = 'uses_type' AND target = (SELECT target FROM u) AND source IS NOT NULL""")
 def type_users(spark, d):
-    return lookup.type_users(_edges(spark, d), HUB)
+    """Users of the most used type of the newest snapshots."""
+    edges = _edges(spark, d)
+    most = edges.where("type = 'uses_type' and target <> ''").groupBy("target").count().orderBy(F.desc("count"), "target").first()
+    return lookup.type_users(edges, most["target"] if most else "")
 
 
 _NEIGHBORS = f"""
