@@ -2,9 +2,11 @@
 
 1. A document longer than a pack is cut into full packs and a remainder; every other is one item.
 2. The histogram of item sizes (at most ``capacity`` bins) goes to the driver; the items do not.
-3. Patterns of up to three sizes that fill a pack exactly are enumerated; accelerated projected
-   gradients fit non-negative repeat counts to the histogram; the counts are rounded down to what the
-   histogram holds; what is left is packed best fit, largest first, on the histogram.
+3. All patterns of up to three sizes that fill a pack exactly are enumerated; accelerated projected
+   gradients fit non-negative repeat counts to the histogram; the counts are rounded to what the histogram
+   holds.  Packs of many documents are fitted the same way to what is left, with patterns that are drawn in
+   proportion to the histogram and closed exactly by one or two of its sizes.  The rest is packed best fit,
+   largest first, on the histogram.
 4. The plan is a list of rank intervals per size.  Items get a rank within their size by bucketed
    counting (no task sees all items of a popular size), and the interval tells pack and offset.
 
@@ -29,7 +31,12 @@ from pyspark.sql.window import Window
 #: Triples are fitted in rounds of about this number, each to what the rounds before it left; none is left out.
 MAX_PATTERNS = 1_500_000
 ITERATIONS = 300
-ITEMS_PER_BUCKET = 50_000
+#: Patterns of many documents: rounds of drawing at most, patterns of a round at most, iterations of their fit.
+DRAWN_ROUNDS, DRAWN_PATTERNS, DRAWN_ITERATIONS = 8, 8192, 60
+#: One pack in so many is left to best fit.
+RESIDUAL_SHARE = 8
+#: Items of a size are ranked in so many buckets of a hash, in the order of the buckets, whatever their number.
+BUCKETS = 1024
 BROADCAST_ROWS = 400_000
 
 
@@ -167,6 +174,41 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return [(tuple(sizes), count) for packs in open_packs.values() for sizes, count in packs]
 
 
+def drawn(left: np.ndarray, capacity: int, n: int, rng: np.random.Generator) -> np.ndarray:
+    """At most n patterns of sizes of the histogram that fill a pack exactly, drawn in proportion to it; 0 for none.
+
+    The first size is drawn in proportion to the room that its items need, since large ones find no room later;
+    others follow until about one mean size of room is left; one size or a pair that the histogram holds closes
+    the pack, chosen in proportion to what it holds.
+    """
+    up_to, total = np.cumsum(left), int(left.sum())
+    mean = float((left * np.arange(len(left))).sum()) / total
+    width = int(np.clip(2 * capacity / mean, 1, 256))
+    sizes = np.searchsorted(up_to, rng.integers(0, total, (n, width)), side="right")
+    need = np.cumsum(left * np.arange(len(left)))
+    sizes[:, 0] = np.searchsorted(need, rng.integers(0, int(need[-1]), n), side="right")
+    kept = np.cumsum(sizes, 1) <= capacity - mean
+    kept[:, 0] = True
+    sizes *= kept
+    room = capacity - sizes.sum(1)
+    out = np.zeros((n, width + 2), np.int64)
+    out[:, :width] = sizes
+    pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k, (r, at) in enumerate(zip(room.tolist(), rng.random(n).tolist(), strict=True)):
+        if r not in pairs:
+            a = np.arange(0, r // 2 + 1)
+            held = np.minimum(left[a], left[r - a]) if r < len(left) else np.zeros(len(a), np.int64)
+            held[0] = left[r] if r < len(left) else 0
+            pairs[r] = np.flatnonzero(held), np.cumsum(held[held > 0])
+        a, weight = pairs[r]
+        if len(a):
+            first = a[np.searchsorted(weight, at * weight[-1], side="right")]
+            out[k, width:] = first, r - first
+    found = np.sort(out[out[:, width:].any(1)], 1)[:, ::-1]
+    found = np.unique(found, axis=0)
+    return found[:, : int((found > 0).any(0).sum())]
+
+
 @dataclass
 class PackPlan:
     """Rank intervals per size; sorted by (size, first rank)."""
@@ -187,6 +229,19 @@ def make_plan(histogram: np.ndarray, capacity: int) -> PackPlan:
         pats = patterns(np.flatnonzero(left), capacity, smallest)
         more, left = rounded(pats, fit(pats, left.astype(float)), left)
         fitted += more
+    rng, packs_in_all = np.random.default_rng(7), int((histogram * np.arange(len(histogram))).sum() // capacity)
+    for _ in range(DRAWN_ROUNDS):
+        packs_left = int((left * np.arange(len(left))).sum() // capacity)
+        if packs_left <= packs_in_all // RESIDUAL_SHARE + 1:  # best fit needs some of all sizes to fill up the last packs
+            break
+        # part of every size stays, in proportion
+        offered = left - left // RESIDUAL_SHARE
+        pats = drawn(offered, capacity, min(DRAWN_PATTERNS, packs_left), rng)
+        more, rest = rounded(pats, fit(pats, offered.astype(float), DRAWN_ITERATIONS), offered)
+        left = left - offered + rest
+        fitted += more
+        if sum(n for _, n in more) < packs_left // 50:
+            break
     used = np.zeros(len(histogram), np.int64)
     rows, packs = [], 0
     n_fitted = sum(n for _, n in fitted)
@@ -229,23 +284,15 @@ def pack_documents(counts: DataFrame, capacity: int, pack_name: str = "pack") ->
     for row in by_size:
         histogram[row["size"]] = row["n"]
     plan = make_plan(histogram, capacity)
-    n_buckets = int(max(1, histogram.max() // ITEMS_PER_BUCKET + 1))
-    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets)).cast("int"))
-    if n_buckets == 1:
-        ranked = bucketed.withColumn(
-            "rank", F.row_number().over(Window.partitionBy("size").orderBy("doc_id", "piece")).cast("bigint") - 1
-        )
-    else:
-        before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        starts = bucketed.groupBy("size", "bucket").agg(n_items).select(
-            "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
-        )
-        if n_buckets * len(by_size) <= BROADCAST_ROWS:
-            starts = F.broadcast(starts)
-        own = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "piece"))
-        ranked = bucketed.withColumn("own", own).join(starts, ["size", "bucket"]).withColumn(
-            "rank", F.col("start") + F.col("own") - 1
-        )
+    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucketed.groupBy("size", "bucket").agg(n_items).select(
+        "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    if min(BUCKETS * len(by_size), int(histogram.sum())) <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
+    own = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "piece"))
+    ranked = bucketed.withColumn("own", own).join(starts, ["size", "bucket"]).withColumn("rank", F.col("start") + F.col("own") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = plan.size * (1 << 44) + plan.first

@@ -42,7 +42,7 @@ def test_borders(spark):
 
 
 def test_hot_size_is_ranked_in_buckets(spark, monkeypatch):
-    monkeypatch.setattr(pk, "ITEMS_PER_BUCKET", 100)
+    monkeypatch.setattr(pk, "BUCKETS", 20)
     sizes = [7] * 2000 + list(range(1, 60))
     assert sound(pack(spark, sizes, 64), sizes, 64) <= 2000 * 7 // 63 + 40
     monkeypatch.setattr(pk, "BROADCAST_ROWS", 0)
@@ -98,3 +98,25 @@ def test_rounds_hold_every_triple_once(monkeypatch):
     triples = sorted(tuple(p) for part in parts for p in part[part[:, 2] > 0].tolist())
     assert len(parts) > 5 and triples == [(60 - b - c, b, c) for b, c in sorted(((b, c) for c in range(1, 21) for b in range(c, (60 - c) // 2 + 1)), key=lambda x: (60 - x[0] - x[1], *x))]
     assert triples == sorted(tuple(p) for p in whole[whole[:, 2] > 0].tolist())
+
+
+def test_patterns_of_many_documents_fill_packs_exactly():
+    rng = np.random.default_rng(0)
+    left = np.bincount(rng.integers(20, 400, 5000), minlength=2049)
+    pats = pk.drawn(left, 2048, 500, rng)
+    assert len(pats) > 300 and (pats.sum(1) == 2048).all() and (left[pats[pats > 0]] > 0).all() and (np.diff(pats, axis=1) <= 0).all()
+    assert ((pats > 0).sum(1) > 3).mean() > 0.9
+
+
+@pytest.mark.parametrize("capacity", [512, 2048, 8192])
+def test_most_packs_are_fitted_and_few_are_more_than_needed(capacity):
+    sizes = np.clip(np.random.default_rng(5).lognormal(5.3, 1.1, 40_000).astype(int) + 1, 1, capacity)
+    histogram = np.bincount(sizes, minlength=capacity + 1)
+    plan = pk.make_plan(histogram, capacity)
+    bound = -(-int(sizes.sum()) // capacity)
+    assert bound <= plan.n_packs <= 1.003 * bound + 2 and plan.n_fitted >= 0.8 * plan.n_packs
+
+
+def test_a_full_histogram_has_triples_of_every_smallest_size():
+    found = np.concatenate(pk.rounds(np.arange(1, 8193), 8192))
+    assert sorted(found.tolist()) == list(range(1, 8192 // 3 + 1))
