@@ -770,7 +770,7 @@ def _graph(spark, d):
 
 _TABLES = f"""{_LAST}, {_cur('entities', 'id, title, type, text_unit_ids', 'e')}, {_cur('relationships', 'id, source, target, type, text_unit_ids', 'r')}, {_cur('text_units', 'id, text', 't')}, {_cur('call_observations', 'source, display_target, reason, span', 'o')}"""
 #: A section's rows: graph, name, five sort keys, item, whether the text is cut, limit.
-_WEAK = "CASE WHEN coalesce(contains(reason, 'registry'), false) THEN 'false' ELSE 'true' END, source, display_target, span, reason, concat_ws(' ', source, display_target, reason), CAST(NULL AS BOOLEAN), 15"
+_WEAK_ROW = "CASE WHEN coalesce(contains(reason, 'registry'), false) THEN 'false' ELSE 'true' END, source, display_target, span, reason, concat_ws(' ', source, display_target, reason), CAST(NULL AS BOOLEAN), 15"
 _EDGE = "concat_ws(' ', source, type, target), CAST(NULL AS BOOLEAN)"
 _UNIT = "SELECT graph_name, 'texts', id, NULL, NULL, NULL, NULL, substring(text, 1, 300), length(text) > 300, 10 FROM t SEMI JOIN w USING (graph_name, id) WHERE text IS NOT NULL"
 _RANKED = """q AS (SELECT DISTINCT * FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY graph_name, section ORDER BY k1 NULLS FIRST, k2 NULLS FIRST, k3 NULLS FIRST, k4 NULLS FIRST, k5 NULLS FIRST, item NULLS FIRST) AS n, count(*) OVER (PARTITION BY graph_name, section) AS total FROM q),
@@ -782,7 +782,7 @@ y AS (SELECT * FROM x WHERE other IS NOT NULL), w AS (SELECT DISTINCT graph_name
 s(graph_name, section, k1, k2, k3, k4, k5, item, cut, lim) AS (SELECT graph_name, 'neighbors', other, type, id, NULL, NULL, {_EDGE}, 30 FROM y UNION ALL {_UNIT}
  UNION ALL SELECT graph_name, 'data', other, id, NULL, NULL, NULL, {_EDGE}, 30 FROM y WHERE type = 'uses_data' UNION ALL SELECT graph_name, 'types_out', target, id, NULL, NULL, NULL, {_EDGE}, 20 FROM x WHERE way = 'out' AND type = 'uses_type'
  UNION ALL SELECT graph_name, 'types_in', source, id, NULL, NULL, NULL, {_EDGE}, 20 FROM x WHERE way = 'in' AND type = 'uses_type'
- UNION ALL SELECT graph_name, 'observations', {_WEAK} FROM o WHERE source = '{HUB}' OR starts_with(source, '{HUB}.')), {_RANKED}"""
+ UNION ALL SELECT graph_name, 'observations', {_WEAK_ROW} FROM o WHERE source = '{HUB}' OR starts_with(source, '{HUB}.')), {_RANKED}"""
 
 
 @query(f"WITH {_PACK} SELECT * FROM ranked")
@@ -807,7 +807,7 @@ def context_pack(spark, d):
 @query(f"""WITH {_TABLES}, m AS (SELECT * FROM e WHERE starts_with(title, 'runtime_log:')), y AS (SELECT * FROM r WHERE starts_with(source, 'runtime_log:') OR starts_with(target, 'runtime_log:')),
 w AS (SELECT DISTINCT graph_name, id FROM (SELECT graph_name, unnest(text_unit_ids) AS id FROM m UNION ALL SELECT graph_name, unnest(text_unit_ids) FROM y)),
 s(graph_name, section, k1, k2, k3, k4, k5, item, cut, lim) AS (SELECT graph_name, 'members', title, NULL, NULL, NULL, NULL, concat_ws(' ', type, title), CAST(NULL AS BOOLEAN), 50 FROM m UNION ALL SELECT graph_name, 'edges', source, target, type, id, NULL, {_EDGE}, 100 FROM y
- UNION ALL {_UNIT} UNION ALL SELECT graph_name, 'observations', {_WEAK} FROM o WHERE starts_with(source, 'runtime_log:')), {_RANKED} SELECT * FROM ranked""")
+ UNION ALL {_UNIT} UNION ALL SELECT graph_name, 'observations', {_WEAK_ROW} FROM o WHERE starts_with(source, 'runtime_log:')), {_RANKED} SELECT * FROM ranked""")
 def module_pack(spark, d):
     return pack.module_pack(_graph(spark, d), "runtime_log")
 
