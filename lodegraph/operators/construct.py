@@ -127,17 +127,19 @@ def module_keys(files: DataFrame) -> DataFrame:
     parent = F.regexp_extract("source_file", r"(?:^|/)([^/]+)/[^/]+$", 1)
     folder = F.regexp_replace("source_file", r"[^/]*$", "")
     f = files.select(BY, "source_file").distinct().withColumns({"stem": stem, "parent": parent, "folder": folder})
-    shared = F.size(F.collect_set("folder").over(Window.partitionBy(BY, "stem"))) > 1
+    same_stem = Window.partitionBy(BY, "stem")
+    shared = F.coalesce(F.min("folder").over(same_stem) != F.max("folder").over(same_stem), F.lit(False))
     key = F.when(shared & (F.col("parent") != ""), F.concat_ws("/", "parent", "stem")).otherwise(F.col("stem"))
     return f.withColumn("module_key", key).select(BY, "source_file", "module_key")
 
 
 def symbol_titles(symbols: DataFrame) -> DataFrame:
     """Title ``key:name``, or ``key:kind:name`` where kinds collide on a name."""
-    kinds = F.size(F.collect_set("kind").over(Window.partitionBy(BY, "module_key", "name")))
+    same_name = Window.partitionBy(BY, "module_key", "name")
+    collide = F.coalesce(F.min("kind").over(same_name) != F.max("kind").over(same_name), F.lit(False))
     plain = F.concat_ws(":", "module_key", "name")
     return symbols.select(BY, "module_key", "kind", "name").distinct().withColumn(
-        "title", F.when(kinds > 1, F.concat_ws(":", "module_key", "kind", "name")).otherwise(plain)
+        "title", F.when(collide, F.concat_ws(":", "module_key", "kind", "name")).otherwise(plain)
     )
 
 

@@ -23,24 +23,31 @@ def _span() -> F.Column:
     return F.concat(F.col("first").cast("string"), F.lit(":0-"), F.col("last").cast("string"), F.lit(":0"))
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows numbered through their graph by (source_file, order): ranked within a file, behind the rows of the files before it."""
+    before = Window.partitionBy(BY).orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(BY, "source_file").agg(F.count(F.lit(1)).alias("_n")).select(BY, "source_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(BY, "source_file").orderBy(*order))
+    return rows.withColumn("_own", own).join(starts, [BY, "source_file"]).withColumn("human_readable_id", F.col("_start") + F.col("_own")).drop("_own", "_start")
+
+
 def graph_from_facts(facts: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """The four tables of each graph from the facts of its files, with graph_name."""
     stem = F.regexp_extract("source_file", r"([^/]+)\.[^./]+$", 1)
     found = facts.where("record = 'entity'").groupBy(BY, "source_file", "type", F.col("source").alias("title")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
     entity_id = F.concat_ws(":", F.lit("ent"), "type", "title")
     lines = files.select(BY, "source_file", F.split("content", r"\r?\n").alias("lines"))
-    with_text = found.join(lines, [BY, "source_file"])
+    with_text = numbered(found, ["first", "title", "type"]).join(lines, [BY, "source_file"])
     snippet = F.array_join(F.slice("lines", F.col("first"), F.greatest(F.col("last") - F.col("first") + 1, F.lit(1))), "\n")
-    order = Window.partitionBy(BY).orderBy("source_file", "first", "title", "type")
     unit_id = F.concat(F.lit("tu:"), F.lower(slug("title")))
     whole = F.col("type").isin("file", "module")
-    numbered = with_text.withColumns({"human_readable_id": F.row_number().over(order).cast("bigint"), "snippet": F.when(~whole, snippet)})
-    entities = numbered.select(
+    described = with_text.withColumn("snippet", F.when(~whole, snippet))
+    entities = described.select(
         BY, entity_id.alias("id"), "title", "type", F.concat_ws(" ", "type", "title").alias("description"), "snippet",
         F.when(~whole, F.array(unit_id)).otherwise(F.array().cast("array<string>")).alias("text_unit_ids"), "human_readable_id", "source_file",
         F.when(F.col("type") == "module", "module").otherwise(_span()).alias("span"), F.lit(EXTRACTOR).alias("extractor"), F.lit(1.0).alias("confidence"), F.lit(True).alias("is_deterministic"),
     )
-    units = numbered.where(~whole & F.col("snippet").isNotNull()).select(
+    units = described.where(~whole & F.col("snippet").isNotNull()).select(
         BY, unit_id.alias("id"), "human_readable_id", F.col("snippet").alias("text"), n_tokens("snippet").cast("bigint").alias("n_tokens"), F.col("source_file").alias("document_id"),
         entity_id.alias("entity_id"), F.array(entity_id).alias("entity_ids"), "source_file", _span().alias("span"), F.lit(EXTRACTOR).alias("extractor"), F.lit(1.0).alias("confidence"), F.lit(True).alias("is_deterministic"),
     ).dropDuplicates([BY, "id"])
@@ -57,9 +64,9 @@ def graph_from_facts(facts: DataFrame, files: DataFrame) -> dict[str, DataFrame]
         "full": target,
     }).where("full is not null")
     rel_id = F.concat_ws(":", F.lit("rel"), "type", short_digest(F.col("type"), F.col("source"), F.col("full"), F.col("first").cast("string")))
-    relationships = kept.select(
+    relationships = numbered(kept, ["first", "source", "full", "type"]).select(
         BY, rel_id.alias("id"), "source", F.col("full").alias("target"), "type", F.concat_ws(" ", "source", "type", "full").alias("description"), F.col("confidence").alias("weight"),
-        F.array(F.concat(F.lit("tu:"), F.lower(slug("source")))).alias("text_unit_ids"), F.row_number().over(Window.partitionBy(BY).orderBy("source_file", "first", "source", "full", "type")).cast("bigint").alias("human_readable_id"),
+        F.array(F.concat(F.lit("tu:"), F.lower(slug("source")))).alias("text_unit_ids"), "human_readable_id",
         "source_file", F.concat(F.col("first").cast("string"), F.lit(":0")).alias("span"), F.lit(EXTRACTOR).alias("extractor"), "confidence", "is_deterministic", F.col("detail").alias("fact_kind"), F.col("resolved").alias("resolved_target_hint"),
     ).dropDuplicates([BY, "id"])
     weak = facts.where("record in ('observation', 'candidate')").select(

@@ -6,7 +6,6 @@ import ast
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def read_tree(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -26,10 +25,21 @@ def has_public_definition(text: str | None) -> bool:
     return any(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and not n.name.startswith("_") for n in body)
 
 
+def _public():
+    """``has_public_definition`` of a batch of texts."""
+    import pandas as pd
+
+    def public(texts):
+        return texts.map(has_public_definition)
+
+    public.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(public, "boolean")
+
+
 def python_sources(spark: SparkSession, root: str) -> DataFrame:
     """Python files of a package: no ``tests`` folders, initializers only if they define something public."""
     files = read_tree(spark, root, "*.py").where(~F.col("source_file").rlike(r"(^|/)tests/"))
-    public = F.udf(has_public_definition, T.BooleanType())
+    public = _public()
     initial = F.col("source_file").rlike(r"(^|/)__init__\.py$")
     return files.where(~initial).unionByName(files.where(initial).where(public("content")))
 
