@@ -331,3 +331,44 @@ def test_a_pack_says_which_texts_are_cut(spark):
     sections = {x["section"]: x for x in json.loads(pack.context_pack(g, "m:f", 10).first()["pack_json"])["sections"]}
     assert sections["texts"]["items"] == ["x" * 10, "x" * 10, ""] and sections["texts"]["cut"] == [False, True, False]
     assert "cut" not in sections["neighbors"] and sections["texts"]["truncated"] is False
+
+
+def test_call_buckets_by_class_and_scope(spark, rows):
+    shape = "row_id string, caller string, path string, target string, byte_offset int, line int, col int"
+    compiler = [("c1", "f", "a.c", "g", 10, 1, 1, "internal_direct"), ("c2", "f", "a.c", "h", None, 2, 1, "internal_direct"), ("c3", "f", "a.c", "x", 30, 3, 1, "internal_direct"),
+                ("c4", "f", "a.c", "puts", 40, 4, 1, "external_direct"), ("c5", None, "a.c", "g", 50, 5, 1, "internal_direct"), ("c6", "f", "a.c", None, 60, 6, 1, "indirect"), ("c7", "f", "a.c", "q", 70, 7, 1, None)]
+    stated = [("s1", "f", "a.c", "g", 10, 9, 9), ("s2", "f", "a.c", "h", 20, 2, 1), ("s4", "f", "a.c", "other", 40, 4, 1), ("s8", "f", "a.c", "z", 80, 8, 1), ("s9", "f", "b.c", "g", 10, 1, 1)]
+    got = rows(audit.call_buckets(spark.createDataFrame(compiler, shape + ", call_class string"), spark.createDataFrame(stated, shape), spark.createDataFrame([("a.c",)] * 2, "path string")))
+    assert got == sorted([
+        ("c1", "s1", "matched_internal"), ("c2", "s2", "matched_internal"), ("c3", None, "compiler_only_internal"), ("c4", None, "external_direct"), ("c5", None, "compiler_only_internal"),
+        ("c6", None, "indirect"), ("c7", None, "ambiguous"), (None, "s4", "covered_by_other"), (None, "s8", "stated_only"), (None, "s9", "out_of_scope"),
+    ], key=repr)
+
+
+def test_closure_section_tells_the_state_of_each_node(spark, rows):
+    from lodegraph.tables import GraphTables
+
+    e = spark.createDataFrame([("g", "1", "m:a", ["t1", "t0"]), ("g", "2", "m:b", []), ("g", "3", "m:b", None)], "graph_name string, id string, title string, text_unit_ids array<string>")
+    t = spark.createDataFrame([("g", "t0", "x" * 400), ("g", "t1", "y")], "graph_name string, id string, text string")
+    n = spark.createDataFrame([("g", "m:a", "m:a", 0), ("g", "m:a", "m:b", 1), ("g", "m:a", "m:c", 2)], "graph_name string, start string, title string, depth int")
+    got = rows(pack.closure_section(n, GraphTables(e, e, t, t), max_nodes=3).select("rank", "title", "status", F.length("text"), "cut", "total", "truncated"))
+    assert got == [(1, "m:a", "present", 300, True, 3, False), (2, "m:b", "ambiguous", None, None, 3, False), (3, "m:c", "missing", None, None, 3, False)]
+
+
+def test_rounds_of_traversals_beyond_the_broadcast_bound(spark, rows, monkeypatch):
+    edges = spark.createDataFrame([("g", f"n{i}", f"n{(i * 7 + k) % 40}", "contains") for i in range(20) for k in (1, 2)], "graph_name string, source string, target string, type string")
+    starts = spark.createDataFrame([("g", "n0"), ("g", "n3")], "graph_name string, start string")
+    small = rows(traverse.reach(edges, starts)), rows(traverse.dependency_order(edges))
+    monkeypatch.setattr(traverse, "BROADCAST_ROWS", 0)
+    assert (rows(traverse.reach(edges, starts)), rows(traverse.dependency_order(edges))) == small
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as N
+
+    from lodegraph import session
+
+    conf = N(get=lambda *a: None)
+    spark = N(sparkContext=N(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077"), conf=conf)
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(spark)
